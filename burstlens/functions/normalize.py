@@ -45,6 +45,29 @@ def json_text(doc: Column, path: str) -> Column:
     return F.get_json_object(doc, path)
 
 
+# Top-level analysis fields read as text: one JSON parse per row; nested
+# objects come back as their JSON text (same values as ``get_json_object``).
+ANALYSIS_FIELDS = "title string, summary string, details string, keywords string"
+
+
+def analysis_fields(doc: Column) -> Column:
+    """Parse the analysis document once into a struct of text fields."""
+    return F.from_json(doc, ANALYSIS_FIELDS)
+
+
+def analysis_paths(fields: Column) -> dict[str, Column]:
+    """The document paths the rules read, from the parsed struct."""
+    details, keywords = fields.getField("details"), fields.getField("keywords")
+    return {
+        "title": fields.getField("title"),
+        "summary": fields.getField("summary"),
+        "main_subject": F.get_json_object(details, "$.main_subject"),
+        "animals": F.get_json_object(keywords, "$.Animals"),
+        "people": F.get_json_object(keywords, "$.People"),
+        "threats": F.get_json_object(keywords, "$.Threats"),
+    }
+
+
 # ----------------------------------------------------------- identity
 def local_timestamp() -> Column:
     return F.coalesce(col("timestamp"), col("utc_timestamp_off"), col("utc_timestamp"),
@@ -59,14 +82,14 @@ def event_group() -> Column:
     return F.coalesce(blank_to_null(col("event")), blank_to_null(col("id")))
 
 
-def analysis_title(doc: Column | None = None) -> Column:
-    doc = analysis_json() if doc is None else doc
-    return F.coalesce(blank_to_null(col("analysis_title")), blank_to_null(json_text(doc, "$.title")))
+def analysis_title(fields: Column | None = None) -> Column:
+    fields = analysis_fields(analysis_json()) if fields is None else fields
+    return F.coalesce(blank_to_null(col("analysis_title")), blank_to_null(fields.getField("title")))
 
 
-def analysis_summary(doc: Column | None = None) -> Column:
-    doc = analysis_json() if doc is None else doc
-    return F.coalesce(blank_to_null(col("analysis_summary")), blank_to_null(json_text(doc, "$.summary")))
+def analysis_summary(fields: Column | None = None) -> Column:
+    fields = analysis_fields(analysis_json()) if fields is None else fields
+    return F.coalesce(blank_to_null(col("analysis_summary")), blank_to_null(fields.getField("summary")))
 
 
 # ------------------------------------------------------------ telemetry
@@ -133,12 +156,11 @@ def upload_text() -> Column:
 
 
 # -------------------------------------------------------- subject
-def subject_signal(doc: Column | None = None) -> Column:
-    doc = analysis_json() if doc is None else doc
-    parts = [col("subject_class"), col("subject_category"),
-             json_text(doc, "$.details.main_subject"), json_text(doc, "$.keywords.Animals"),
-             json_text(doc, "$.keywords.People"), json_text(doc, "$.keywords.Threats"),
-             json_text(doc, "$.title"), json_text(doc, "$.summary")]
+def subject_signal(fields: Column | None = None) -> Column:
+    fields = analysis_fields(analysis_json()) if fields is None else fields
+    p = analysis_paths(fields)
+    parts = [col("subject_class"), col("subject_category"), p["main_subject"], p["animals"],
+             p["people"], p["threats"], p["title"], p["summary"]]
     return F.lower(F.concat_ws(" ", *[blank_to_null(p) for p in parts]))
 
 

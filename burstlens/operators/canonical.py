@@ -40,7 +40,7 @@ def canonical(raw: DataFrame) -> DataFrame:
     ts = N.local_timestamp()
     step1 = raw.select(
         "*",
-        N.analysis_json().alias("_doc"),
+        N.analysis_fields(N.analysis_json()).alias("_doc"),
         ts.alias("_ts"),
     )
     doc = F.col("_doc")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import canonical as C
 from ..operators import ops
-from ..sources import adapter
+from ..sources import adapter, staging
 from .shape import finish
 
 AS_OF = "2024-02-01T00:00:00"
@@ -30,7 +30,13 @@ def register(name: str):
 
 
 def canon(spark: SparkSession, sf_dir: str, filters=None) -> DataFrame:
-    return C.base(adapter.camera_events(spark, sf_dir), filters)
+    """Canonical events of ``sf_dir`` (staged table), optionally filtered."""
+    df = staging.canonical_table(spark, sf_dir)
+    return df if filters is None else df.filter(filters.predicate())
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapter.camera_events(spark, sf_dir)
 
 
 def groups(spark: SparkSession, sf_dir: str, filters=None) -> DataFrame:
@@ -102,3 +108,81 @@ def q_lowest_voltage(spark, d):
 @register("stale_unhealthy_count")
 def q_stale_unhealthy(spark, d):
     return finish(ops.stale_unhealthy_count(ops.camera_health(canon(spark, d), AS_OF)))
+
+
+# -------------------------------------------------------------- reports
+from ..operators import reports as R  # noqa: E402
+
+DAY = "2024-01-15"
+
+
+def _g(spark, d):
+    return groups(spark, d)
+
+
+@register("kpis")
+def q_kpis(spark, d):
+    return finish(R.kpis(C.kpi_groups(canon(spark, d))))
+
+
+for _name, _fn, _src, _dbl in [
+    ("daily_activity", R.daily_activity, "canon", ()),
+    ("hourly_heatmap", R.hourly_heatmap, "canon", ("hour",)),
+    ("time_of_day_composition", R.time_of_day_composition, "canon", ()),
+    ("subject_by_camera", R.subject_by_camera, "canon", ()),
+    ("monthly_activity", R.monthly_activity, "canon", ()),
+    ("composition", R.composition, "canon", ()),
+    ("lag_trend", R.lag_trend, "canon", ()),
+    ("category_distribution", R.category_distribution, "groups", ()),
+    ("category_trend", R.category_trend, "groups", ()),
+    ("top_cameras", R.top_cameras, "groups", ()),
+    ("hourly_activity", R.hourly_activity, "groups", ("hour",)),
+    ("burst_distribution", R.burst_distribution, "groups", ()),
+    ("voltage_trend", R.voltage_trend, "canon", ()),
+    ("light_split", R.light_split, "groups", ()),
+    ("temperature_trend", R.temperature_trend, "canon", ()),
+    ("hour_category_heatmap", R.hour_category_heatmap, "groups", ("row",)),
+    ("camera_category_heatmap", R.camera_category_heatmap, "groups", ()),
+    ("burst_behavior", R.burst_behavior, "groups", ()),
+    ("camera_daily", R.camera_daily, "groups", ()),
+    ("combo_daily", R.combo_daily, "groups", ("hour",)),
+    ("diversity_by_camera", R.diversity_by_camera, "groups", ()),
+    ("category_ratio_by_camera", R.category_ratio_by_camera, "groups", ()),
+    ("environmental_context", R.environmental_context, "canon", ()),
+    ("filter_option_ranges", R.filter_option_ranges, "canon", ()),
+    ("count_events", R.count_events, "canon", ()),
+]:
+    def _make(fn=_fn, src=_src, dbl=_dbl):
+        def run(spark, d):
+            frame = canon(spark, d) if src == "canon" else groups(spark, d)
+            return finish(fn(frame), as_double=dbl)
+        return run
+    QUERIES[_name] = _make()
+
+daily_seasonality = QUERIES["category_trend"]
+QUERIES["daily_seasonality"] = daily_seasonality
+
+
+@register("filter_option_values")
+def q_filter_option_values(spark, d):
+    return finish(R.filter_option_values(canon(spark, d), adapter.devices(spark, d)))
+
+
+@register("day_summary_totals")
+def q_day_totals(spark, d):
+    return finish(R.day_totals(R.on_day(canon(spark, d), DAY)))
+
+
+@register("day_summary_hourly")
+def q_day_hourly(spark, d):
+    return finish(R.day_hourly(R.on_day(canon(spark, d), DAY)))
+
+
+@register("day_summary_classes")
+def q_day_classes(spark, d):
+    return finish(R.day_classes(R.on_day(canon(spark, d), DAY)))
+
+
+@register("day_summary_cameras")
+def q_day_cameras(spark, d):
+    return finish(R.day_cameras(R.on_day(canon(spark, d), DAY)))

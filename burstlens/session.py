@@ -19,6 +19,8 @@ def get_session(cores: int | None = None, shuffle_partitions: int | None = None)
         SparkSession.builder.master(f"local[{cores}]")
         .appName("burstlens")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
