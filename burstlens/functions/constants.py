@@ -143,3 +143,21 @@ ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
 CSV_SECONDS = "yyyy-MM-dd HH:mm:ss"
 MONTH_FORMAT = "yyyy-MM"
 # ------------------------------------------------------------ END FIXED VALUES
+
+# ---------------------------------------------------------------- FIXED VALUES
+# Insight texts ({} marks the inserted value, in order).
+INSIGHT_CAMERA_ALERT = ("{} needs attention", "This camera has the highest operational anomaly score in the fleet.")
+INSIGHT_LAG = ("Processing lag is elevated", "Average processing lag is {} minutes across the current slice.")
+INSIGHT_BUSIEST = ("{} is the busiest camera", "It generated {} grouped events in the selected range.")
+INSIGHT_LOW_LIGHT = ("Wildlife activity is skewing toward low light", "{}% of grouped events occurred in low-light conditions.")
+INSIGHT_STALE = ("{} stale cameras detected",
+                 "At least one camera has not reported recently and should be checked for power, connectivity, or upload backlog.")
+INSIGHT_LOW_LIGHT_PCT = 35
+INSIGHT_LAG_SECONDS = 3600
+INSIGHT_MAX = 4
+INSIGHT_HOT = ("{} is running hot", "Actual activity is {}% above expected on {}.")
+INSIGHT_QUIET = ("{} is quieter than expected", "Actual activity is {}% below expected on {}.")
+INSIGHT_NOVEL = ("Novel {} activity is emerging", "{} at {}:00 carries the highest novelty score in the current slice.")
+INSIGHT_SHIFT = ("{} has a category shift", "{} share moved by {} points against baseline.")
+NOVEL_NARRATIVE = "{} is showing an unusual {} pattern near {}:00. Recent count {}, baseline {} per day."
+# ------------------------------------------------------------ END FIXED VALUES

@@ -186,3 +186,96 @@ def q_day_classes(spark, d):
 @register("day_summary_cameras")
 def q_day_cameras(spark, d):
     return finish(R.day_cameras(R.on_day(canon(spark, d), DAY)))
+
+
+# ------------------------------------------------------------------ lab
+from ..operators import lab as L  # noqa: E402
+
+
+def combo(spark, d):
+    return R.combo_daily(groups(spark, d))
+
+
+@register("analysis_windows")
+def q_windows(spark, d):
+    return finish(L.analysis_windows(combo(spark, d)).drop("rdesc"))
+
+
+@register("forecast")
+def q_forecast(spark, d):
+    return finish(L.forecast(R.category_trend(groups(spark, d))))
+
+
+@register("camera_forecast")
+def q_camera_forecast(spark, d):
+    return finish(L.camera_forecast(R.camera_daily(groups(spark, d))).drop("i"))
+
+
+@register("camera_forecast_leaders")
+def q_leaders(spark, d):
+    return finish(L.camera_forecast_leaders(L.camera_forecast(R.camera_daily(groups(spark, d)))))
+
+
+@register("category_shift_matrix")
+def q_shift(spark, d):
+    return finish(L.category_shift_matrix(combo(spark, d)))
+
+
+@register("novel_events")
+def q_novel(spark, d):
+    return finish(L.novel_events(combo(spark, d)))
+
+
+@register("novelty_by_date")
+def q_novelty_by_date(spark, d):
+    c = combo(spark, d)
+    return finish(L.novelty_by_date(c, L.novel_events(c)))
+
+
+@register("novelty_timeline")
+def q_novelty_timeline(spark, d):
+    return finish(L.novelty_timeline(combo(spark, d)))
+
+
+@register("anomaly_timeline")
+def q_anomaly_timeline(spark, d):
+    c = combo(spark, d)
+    return finish(L.anomaly_timeline(canon(spark, d), L.novelty_by_date(c, L.novel_events(c))))
+
+
+@register("camera_clusters")
+def q_clusters(spark, d):
+    return finish(L.camera_clusters(R.diversity_by_camera(groups(spark, d)), ops.camera_anomalies(canon(spark, d), AS_OF)))
+
+
+@register("overview_insights")
+def q_overview_insights(spark, d):
+    cn = canon(spark, d)
+    g = C.event_groups(cn)
+    health = ops.camera_health(cn, AS_OF_LATE)
+    return finish(L.overview_insights(health, ops.overview_kpis(g, health), R.top_cameras(g),
+                                      ops.stale_cameras(health)))
+
+
+@register("advanced_insights")
+def q_advanced_insights(spark, d):
+    g = groups(spark, d)
+    cb = R.combo_daily(g)
+    leaders = L.camera_forecast_leaders(L.camera_forecast(R.camera_daily(g)))
+    return finish(L.advanced_insights(leaders, L.novel_events(cb), L.category_shift_matrix(cb)))
+
+
+@register("daily_trend_pivot")
+def q_daily_trend(spark, d):
+    return finish(L.daily_trend(R.daily_activity(canon(spark, d))))
+
+
+@register("heatmap_intensity")
+def q_heatmap(spark, d):
+    return finish(L.hour_heatmap_grid(R.hourly_heatmap(canon(spark, d))))
+
+
+@register("forecast_residual_matrix")
+def q_residual_matrix(spark, d):
+    fc = L.camera_forecast(R.camera_daily(groups(spark, d)))
+    return finish(L.forecast_residual_matrix(fc.drop("i"), L.camera_forecast_leaders(fc)))
