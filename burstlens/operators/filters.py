@@ -52,7 +52,7 @@ class Filters:
         if self.subject_class:
             conds.append(F.col("subject_class").isin(list(self.subject_class)))
         if self.q:
-            pattern = F.lit(f"%{self.q}%")
+            pattern = f"%{self.q}%"
             conds.append(F.coalesce(F.col("analysis_title"), F.lit("")).ilike(pattern)
                          | F.coalesce(F.col("analysis_summary"), F.lit("")).ilike(pattern))
         bounds = [("raw_lux", self.min_lux, self.max_lux),

@@ -279,3 +279,166 @@ def q_heatmap(spark, d):
 def q_residual_matrix(spark, d):
     fc = L.camera_forecast(R.camera_daily(groups(spark, d)))
     return finish(L.forecast_residual_matrix(fc.drop("i"), L.camera_forecast_leaders(fc)))
+
+
+# ------------------------------------------------------ explorer / records
+from ..operators import explorer as X  # noqa: E402
+from ..operators import summary as SM  # noqa: E402
+from ..operators.canonical import BASE_COLUMNS  # noqa: E402
+from ..operators.filters import EventQuery, Filters  # noqa: E402
+from ..sources import ingest  # noqa: E402
+
+RECORD_DOUBLE = ("lux", "heat_level", "bearing", "upload_lag_seconds", "ai_lag_seconds", "processing_lag_seconds")
+RECORD_TEXT = ("json_processed", "uploaded")
+
+PAGE_DEFAULT = EventQuery()
+PAGE_FILTERED = EventQuery(camera_name=("cam-00", "cam-03", "alt-21"), time_of_day_bucket=("morning", "night"),
+                           min_lux=5, page=2, page_size=25, sort_by="temperature", sort_dir="asc")
+CSV_QUERY = EventQuery(subject_category=("wildlife", "human"), sort_by="lux", sort_dir="desc")
+
+FILTERS = {
+    "filter_camera": Filters(camera_name=("cam-00", "alt-21")),
+    "filter_mac": Filters(mac=("mac-03", "mac-09")),
+    "filter_dates": Filters(start_date="2024-01-10", end_date="2024-01-12"),
+    "filter_bucket": Filters(time_of_day_bucket=("morning", "night")),
+    "filter_category": Filters(subject_category=("wildlife", "unknown")),
+    "filter_class": Filters(subject_class=("elk", "fox_coyote")),
+    "filter_search": Filters(q="near the WOLF"),
+    "filter_ranges": Filters(min_lux=10, max_lux=40, min_temperature=-50, max_temperature=100,
+                             min_heat_level=20, max_heat_level=80),
+}
+COMBINED = Filters(start_date="2024-01-05", end_date="2024-01-25", subject_class=("elk", "hiker", "bird"),
+                   min_temperature=-55)
+
+
+def _records(df):
+    return finish(df, as_double=RECORD_DOUBLE, as_text=RECORD_TEXT)
+
+
+@register("base")
+def q_base(spark, d):
+    c = canon(spark, d)
+    return finish(C.with_group_size_full(c).select(*BASE_COLUMNS, "event_group_size"),
+                  as_double=RECORD_DOUBLE, as_text=RECORD_TEXT)
+
+
+@register("event_group_size")
+def q_event_group_size(spark, d):
+    return finish(X.event_group_size(canon(spark, d)))
+
+
+@register("events_page")
+def q_events_page(spark, d):
+    return _records(X.events_page(canon(spark, d), PAGE_DEFAULT))
+
+
+@register("events_page_filtered")
+def q_events_page_filtered(spark, d):
+    return _records(X.events_page(canon(spark, d), PAGE_FILTERED))
+
+
+@register("notable_events")
+def q_notable(spark, d):
+    return _records(X.notable_events(canon(spark, d)))
+
+
+@register("day_summary_events")
+def q_day_events(spark, d):
+    return _records(X.day_events(R.on_day(canon(spark, d), DAY)))
+
+
+@register("events_csv")
+def q_events_csv(spark, d):
+    return finish(X.events_csv_frame(canon(spark, d), CSV_QUERY), as_double=("lux", "heat_level"))
+
+
+for _name, _flt in FILTERS.items():
+    def _mk(flt=_flt):
+        def run(spark, d):
+            return finish(canon(spark, d, flt).select("id", "event_group", "camera_name"))
+        return run
+    QUERIES[_name] = _mk()
+
+
+@register("filtered_overview_kpis")
+def q_filtered_overview(spark, d):
+    c = canon(spark, d, COMBINED)
+    return finish(ops.overview_kpis(C.event_groups(c), ops.camera_health(c, AS_OF)))
+
+
+# ------------------------------------------------------ normalisation keys
+NORM_KEYS = {
+    "norm_timestamp": ["local_timestamp", "event_date", "hour"],
+    "norm_camera": ["camera_name"],
+    "norm_event": ["event_group"],
+    "norm_text": ["analysis_title", "analysis_summary", "upload", "file_type", "timezone"],
+    "norm_telemetry": ["lux", "temperature", "humidity", "pressure", "heat_level", "voltage",
+                       "battery_percentage", "raw_battery_percentage", "latitude", "longitude", "bearing"],
+    "norm_subject": ["subject_class", "category", "subject_category"],
+    "norm_time_buckets": ["time_of_day_bucket", "daypart"],
+    "norm_lags": ["upload_lag_seconds", "ai_lag_seconds", "processing_lag_seconds"],
+    "norm_flags": ["low_light_flag", "parse_success", "suspicious_numeric_flag"],
+}
+for _name, _cols in NORM_KEYS.items():
+    def _mkn(cols=_cols):
+        def run(spark, d):
+            return finish(canon(spark, d).select("id", *cols),
+                          as_double=tuple(c for c in cols if c in RECORD_DOUBLE or c == "hour"))
+        return run
+    QUERIES[_name] = _mkn()
+
+
+@register("norm_analysis")
+def q_norm_analysis(spark, d):
+    from ..functions import normalize as N
+    return finish(raw_events(spark, d).select("id", N.analysis_json().alias("analysis")))
+
+
+# ------------------------------------------------------ sources and joins
+RAW_DOUBLE = ("heat_level",)
+RAW_TEXT = ("json_processed", "uploaded")
+
+
+@register("scan_events")
+def q_scan_events(spark, d):
+    return finish(raw_events(spark, d), as_double=RAW_DOUBLE, as_text=RAW_TEXT)
+
+
+@register("devices")
+def q_devices(spark, d):
+    return finish(adapter.devices(spark, d).orderBy("camera_name"))
+
+
+@register("events_devices_join")
+def q_events_devices(spark, d):
+    return finish(SM.events_devices(canon(spark, d), adapter.devices(spark, d)))
+
+
+@register("daily_camera_summary")
+def q_daily_summary(spark, d):
+    return finish(SM.daily_camera_summary(raw_events(spark, d)))
+
+
+@register("summary_devices_join")
+def q_summary_devices(spark, d):
+    return finish(SM.summary_devices(SM.daily_camera_summary(raw_events(spark, d)), adapter.devices(spark, d)))
+
+
+@register("seed_summary_totals")
+def q_seed_totals(spark, d):
+    return finish(SM.seed_totals(raw_events(spark, d)))
+
+
+@register("seed_summary_by_camera")
+def q_seed_by_camera(spark, d):
+    return finish(SM.seed_by_camera(raw_events(spark, d)))
+
+
+@register("seed_summary_by_bucket")
+def q_seed_by_bucket(spark, d):
+    return finish(SM.seed_by_bucket(raw_events(spark, d)))
+
+
+@register("head_export")
+def q_head_export(spark, d):
+    return finish(ingest.head_export(raw_events(spark, d)), as_double=("heat_level",))
