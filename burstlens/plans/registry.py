@@ -442,3 +442,33 @@ def q_seed_by_bucket(spark, d):
 @register("head_export")
 def q_head_export(spark, d):
     return finish(ingest.head_export(raw_events(spark, d)), as_double=("heat_level",))
+
+
+# ------------------------------------------------------ governed workspace
+from . import builder as B  # noqa: E402
+
+BUILDER_SPEC = B.BuilderSpec(
+    relation="events",
+    columns=("camera_name", "subject_category"),
+    aggregates=(B.Aggregate("COUNT", "id", "events"), B.Aggregate("AVG", "voltage"),
+                B.Aggregate("MAX", "temperature", "max_temp")),
+    filters=(B.Filter("voltage", "IS NOT NULL"), B.Filter("sequence", "BETWEEN", 1, 2),
+             B.Filter("camera_name", "IN", "cam-00, cam-03, cam-06")),
+    sort=(B.Sort("events", "desc"), B.Sort("camera_name"), B.Sort("subject_category")),
+    limit=100,
+)
+
+
+@register("builder_query")
+def q_builder(spark, d):
+    return finish(B.build(B.relations(spark, d), BUILDER_SPEC))
+
+
+for _key in B.EXAMPLES:
+    def _mke(key=_key):
+        def run(spark, d):
+            df = B.run_example(spark, B.relations(spark, d), key)
+            return finish(df, as_double=("heat_level",) if key == "ex_select_star" else (),
+                          as_text=("uploaded", "json_processed") if key == "ex_select_star" else ())
+        return run
+    QUERIES[_key] = _mke()
