@@ -18,6 +18,12 @@ def _mean2_int(c: str) -> Column:
     return F.when(n > 0, F.floor((s * 200 + n) / (n * 2)) / F.lit(100.0))
 
 
+def round2_numeric(x: Column) -> Column:
+    """``round(x::numeric, 2)``: snap float noise at 10 places, then round half
+    away from zero in decimal arithmetic (ties do not depend on summation order)."""
+    return F.round(F.round(x, 10).cast("decimal(38,10)"), 2).cast("double")
+
+
 def daily_camera_summary(raw: DataFrame) -> DataFrame:
     """A1: per (date(timestamp), mac, camera_name) counts and rounded means."""
     c = F.col
@@ -26,10 +32,10 @@ def daily_camera_summary(raw: DataFrame) -> DataFrame:
         F.count_distinct("event").alias("unique_event_groups"),
         *[F.count_if(c("subject_category") == v).alias(f"{v}_rows") for v in K.MAIN_CATEGORIES],
         *[F.count_if(c("time_of_day_bucket") == v).alias(f"{v}_rows") for v in K.BUCKET_ORDER],
-        F.round(F.avg("temperature"), 2).alias("avg_temperature"),
+        round2_numeric(F.avg("temperature")).alias("avg_temperature"),
         _mean2_int("lux").alias("avg_lux"),
         _mean2_int("heat_level").alias("avg_heat_level"),
-        F.round(F.avg("battery_percentage"), 2).alias("avg_battery_percentage"),
+        round2_numeric(F.avg("battery_percentage")).alias("avg_battery_percentage"),
     )
 
 

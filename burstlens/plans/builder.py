@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import summary as SM
-from ..sources import adapter
+from ..sources import adapter, staging
 
 # FIXED VALUES: per logical type, the allowed filter operators and aggregates.
 OPERATORS = {
@@ -70,7 +70,7 @@ RELATIONS = {
 
 def relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The three workspace relations, derived from the given tables."""
-    raw = adapter.camera_events(spark, sf_dir)
+    raw = staging.raw_table(spark, sf_dir)
     return {
         "daily_camera_summary": SM.daily_camera_summary(raw),
         "dim_devices": adapter.devices(spark, sf_dir),
@@ -256,7 +256,8 @@ EXAMPLES = {
     "ex_category_counts": """select subject_category, count(*) as event_count from {e}
         where subject_category is not null group by subject_category
         order by event_count desc nulls first, subject_category asc limit 20""",
-    "ex_avg_voltage": """select camera_name, round(avg(voltage), 2) as avg_voltage from {e}
+    "ex_avg_voltage": """select camera_name,
+          cast(round(cast(round(avg(voltage), 10) as decimal(38, 10)), 2) as double) as avg_voltage from {e}
         where voltage is not null group by camera_name
         order by avg_voltage desc nulls first, camera_name asc limit 20""",
     "ex_alias_diff": """select d.camera_name, s.total_rows, s.unique_event_groups,

@@ -36,7 +36,8 @@ def canon(spark: SparkSession, sf_dir: str, filters=None) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapter.camera_events(spark, sf_dir)
+    """The loaded raw events table of ``sf_dir``."""
+    return staging.raw_table(spark, sf_dir)
 
 
 def groups(spark: SparkSession, sf_dir: str, filters=None) -> DataFrame:

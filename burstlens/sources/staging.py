@@ -8,7 +8,11 @@ sending it to one) and writes sorted parquet files.  Reports then prune
 columns at the scan, and date predicates skip files and row groups through
 the parquet min/max statistics of the clustered ``event_date``.
 
-The table lives under the cluster's shared ``spark.checkpoint.dir``; its
+The raw (bronze) ``events`` table is staged the same way: it is what the
+ingest job loads, and reports over stored columns (daily summary, exports,
+workspace relations) read it instead of re-deriving rows per query.
+
+The tables live under the cluster's shared ``spark.checkpoint.dir``; its
 location is keyed by the source path and a digest of the rule code, so a rule
 change is never served from an older table.  Completion is marked by the
 committer's ``_SUCCESS`` file; an unfinished write is simply redone.
@@ -38,14 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/")
 
 
-def _rules_digest() -> str:
-    text = "".join(inspect.getsource(m) for m in (normalize, C, adapter))
+def _digest(*modules) -> str:
+    text = "".join(inspect.getsource(m) for m in modules)
     return hashlib.sha1(text.encode()).hexdigest()[:12]
 
 
-def table_path(spark: SparkSession, sf_dir: str) -> str:
-    key = hashlib.sha1(f"{sf_dir.rstrip('/')}|{_rules_digest()}".encode()).hexdigest()[:16]
-    return f"{shared_dir(spark)}/burstlens/canonical/{key}"
+def table_path(spark: SparkSession, sf_dir: str, kind: str = "canonical") -> str:
+    mods = (adapter,) if kind == "raw" else (normalize, C, adapter)
+    key = hashlib.sha1(f"{sf_dir.rstrip('/')}|{_digest(*mods)}".encode()).hexdigest()[:16]
+    return f"{shared_dir(spark)}/burstlens/{kind}/{key}"
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
@@ -64,14 +69,35 @@ def write_canonical(spark: SparkSession, raw: DataFrame, path: str) -> None:
      .write.mode("overwrite").parquet(path))
 
 
-def canonical_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The staged canonical events for ``sf_dir`` (built on first use)."""
+def write_raw(spark: SparkSession, raw: DataFrame, path: str) -> None:
+    """Bronze events table: the loaded raw rows, clustered by capture time."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (raw.repartitionByRange(parts, "utc_timestamp").sortWithinPartitions("utc_timestamp")
+     .write.mode("overwrite").parquet(path))
+
+
+def raw_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """The loaded raw ``events`` table for ``sf_dir`` (the ingest job's output)."""
+    memo_key = (id(spark), sf_dir, "raw")
+    if memo_key in _MEMO and not refresh:
+        return _MEMO[memo_key]
+    path = table_path(spark, sf_dir, "raw")
+    if refresh or not _complete(spark, path):
+        write_raw(spark, adapter.camera_events(spark, sf_dir), path)
+    df = spark.read.parquet(path)
+    _MEMO[memo_key] = df
+    return df
+
+
+def canonical_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """The staged canonical events for ``sf_dir`` (built on first use, or
+    rebuilt when ``refresh`` is set)."""
     memo_key = (id(spark), sf_dir)
-    if memo_key in _MEMO:
+    if memo_key in _MEMO and not refresh:
         return _MEMO[memo_key]
     path = table_path(spark, sf_dir)
-    if not _complete(spark, path):
-        write_canonical(spark, adapter.camera_events(spark, sf_dir), path)
+    if refresh or not _complete(spark, path):
+        write_canonical(spark, raw_table(spark, sf_dir, refresh), path)
     df = spark.read.parquet(path)
     _MEMO[memo_key] = df
     return df
