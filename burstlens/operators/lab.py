@@ -148,13 +148,14 @@ def category_shift_all(combo: DataFrame) -> DataFrame:
     ).filter((F.col("recent_count") > 0) | (F.col("baseline_count") > 0))
 
 
-SHIFT_ORDER = [F.abs(F.col("shift_pct")).desc(), F.col("recent_count").desc(),
-               F.col("camera_name").asc(), F.col("category").asc()]
+def shift_order() -> list[Column]:
+    return [F.abs(F.col("shift_pct")).desc(), F.col("recent_count").desc(),
+            F.col("camera_name").asc(), F.col("category").asc()]
 
 
 def category_shift_matrix(combo: DataFrame) -> DataFrame:
     """L1: the 36 largest absolute shifts."""
-    return category_shift_all(combo).orderBy(*SHIFT_ORDER).limit(K.SHIFT_TOP)
+    return category_shift_all(combo).orderBy(*shift_order()).limit(K.SHIFT_TOP)
 
 
 # ---------------------------------------------------------------- L2-L4
@@ -363,7 +364,7 @@ def advanced_insights(leaders: DataFrame, novel: DataFrame, shifts: DataFrame) -
     quiet = lead.filter(F.col("delta") < 0).orderBy(F.col("delta").asc(), "_r").limit(1)
     top_novel = novel.orderBy(F.col("novelty_score").desc(), F.col("current_count").desc(), "camera_name",
                               "category", "hour").limit(1)
-    top_shift = shifts.filter(F.col("shift_pct") > 0).orderBy(F.col("shift_pct").desc(), *SHIFT_ORDER).limit(1)
+    top_shift = shifts.filter(F.col("shift_pct") > 0).orderBy(F.col("shift_pct").desc(), *shift_order()).limit(1)
     return _union([
         _insight(hot, 1, fill(K.INSIGHT_HOT[0], F.col("camera_name")),
                  fill(K.INSIGHT_HOT[1], js_number_text(js_round(F.col("residual_pct"), 1)), F.col("date")), "warning"),
