@@ -83,6 +83,37 @@ def events_page(canon: DataFrame, query: EventQuery) -> DataFrame:
     return event_records(with_size, "category")
 
 
+def events_page_after(canon: DataFrame, query: EventQuery, after_value=None, after_id: str | None = None) -> DataFrame:
+    """K1 for deep pages (keyset / seek pagination).
+
+    ``offset`` paging makes every task keep ``offset + page_size`` rows; here
+    the page starts right after the last row of the previous page, given by
+    its sort value and id, so each task keeps at most ``page_size`` rows
+    however deep the page is.  ``after_value=None`` with ``after_id`` set
+    means the previous row had a null sort value.
+    """
+    key = SORT_KEYS[query.sort_by]
+    rows = canon.filter(query.predicate())
+    if after_id is not None:
+        k, i = F.col(key), F.col("id")
+        asc = query.sort_dir == "asc"
+        if after_value is None:
+            # nulls sort last ascending (nothing non-null follows) and first descending
+            after = (k.isNull() & (i > after_id)) if asc else (k.isNotNull() | (k.isNull() & (i > after_id)))
+        else:
+            v = F.lit(after_value)
+            beyond = (k > v) if asc else (k < v)
+            after = beyond | ((k == v) & (i > after_id))
+            if asc:
+                after = after | k.isNull()
+        rows_after = rows.filter(after)
+    else:
+        rows_after = rows
+    order = [_pg_order(key, query.sort_dir), F.col("id").asc()]
+    page = rows_after.orderBy(*order).limit(query.page_size)
+    return event_records(C.with_group_size(page, rows), "category")
+
+
 def notable_events(canon: DataFrame) -> DataFrame:
     """K2: upload failures, then low voltage, then longest processing lag, newest."""
     c = F.col

@@ -473,3 +473,9 @@ for _key in B.EXAMPLES:
                           as_text=("uploaded", "json_processed") if key == "ex_select_star" else ())
         return run
     QUERIES[_key] = _mke()
+
+
+@register("events_page_seek")
+def q_events_page_seek(spark, d):
+    import datetime as _dt
+    return _records(X.events_page_after(canon(spark, d), PAGE_DEFAULT, _dt.datetime(2024, 1, 20, 12, 0, 0), ""))
