@@ -194,7 +194,12 @@ from ..operators import lab as L  # noqa: E402
 
 
 def combo(spark, d):
-    return R.combo_daily(groups(spark, d))
+    """Combo table checkpointed once: the lab reports read it from several jobs."""
+    return staging.materialize(R.combo_daily(groups(spark, d)))
+
+
+def cam_daily(spark, d):
+    return staging.materialize(R.camera_daily(groups(spark, d)))
 
 
 @register("analysis_windows")
@@ -209,12 +214,12 @@ def q_forecast(spark, d):
 
 @register("camera_forecast")
 def q_camera_forecast(spark, d):
-    return finish(L.camera_forecast(R.camera_daily(groups(spark, d))).drop("i"))
+    return finish(L.camera_forecast(cam_daily(spark, d)).drop("i"))
 
 
 @register("camera_forecast_leaders")
 def q_leaders(spark, d):
-    return finish(L.camera_forecast_leaders(L.camera_forecast(R.camera_daily(groups(spark, d)))))
+    return finish(L.camera_forecast_leaders(L.camera_forecast(cam_daily(spark, d))))
 
 
 @register("category_shift_matrix")
@@ -260,9 +265,8 @@ def q_overview_insights(spark, d):
 
 @register("advanced_insights")
 def q_advanced_insights(spark, d):
-    g = groups(spark, d)
-    cb = R.combo_daily(g)
-    leaders = L.camera_forecast_leaders(L.camera_forecast(R.camera_daily(g)))
+    cb = combo(spark, d)
+    leaders = L.camera_forecast_leaders(L.camera_forecast(cam_daily(spark, d)))
     return finish(L.advanced_insights(leaders, L.novel_events(cb), L.category_shift_matrix(cb)))
 
 
@@ -278,7 +282,7 @@ def q_heatmap(spark, d):
 
 @register("forecast_residual_matrix")
 def q_residual_matrix(spark, d):
-    fc = L.camera_forecast(R.camera_daily(groups(spark, d)))
+    fc = staging.materialize(L.camera_forecast(cam_daily(spark, d)))
     return finish(L.forecast_residual_matrix(fc.drop("i"), L.camera_forecast_leaders(fc)))
 
 

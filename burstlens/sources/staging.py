@@ -61,18 +61,23 @@ def _complete(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def _parts(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def write_canonical(spark: SparkSession, raw: DataFrame, path: str) -> None:
     """Range-cluster by (date, camera, id): ``id`` lets the sampler split even a
-    single hot (date, camera) over several tasks; AQE sizes the partitions."""
+    single hot (date, camera) over several tasks.  The file count follows
+    ``spark.sql.shuffle.partitions`` (sized by the operator for the data)."""
     canon = C.canonical(raw)
-    (canon.repartitionByRange("event_date", "camera_name", "id")
+    (canon.repartitionByRange(_parts(spark), "event_date", "camera_name", "id")
      .sortWithinPartitions("event_date", "camera_name", "id")
      .write.mode("overwrite").parquet(path))
 
 
 def write_raw(spark: SparkSession, raw: DataFrame, path: str) -> None:
     """Bronze events table: the loaded raw rows, clustered by capture time."""
-    (raw.repartitionByRange("utc_timestamp", "id").sortWithinPartitions("utc_timestamp", "id")
+    (raw.repartitionByRange(_parts(spark), "utc_timestamp", "id").sortWithinPartitions("utc_timestamp", "id")
      .write.mode("overwrite").parquet(path))
 
 
@@ -101,3 +106,12 @@ def canonical_table(spark: SparkSession, sf_dir: str, refresh: bool = False) ->
     df = spark.read.parquet(path)
     _MEMO[memo_key] = df
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage of an intermediate that several jobs of one report reuse:
+    an eager ``checkpoint()`` into the shared checkpoint folder (survives
+    executor loss, unlike a cache)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
