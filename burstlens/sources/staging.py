@@ -30,7 +30,15 @@ from ..functions import normalize
 from ..operators import canonical as C
 from . import adapter
 
-_MEMO: dict[tuple[int, str], DataFrame] = {}
+_MEMO: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+
+
+def _memo_get(spark: SparkSession, key: tuple) -> DataFrame | None:
+    """A staged DataFrame read earlier by this same, still running session."""
+    hit = _MEMO.get(key)
+    if hit is None or hit[0] is not spark or spark.sparkContext._jsc is None:  # noqa: SLF001
+        return None
+    return hit[1]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,27 +92,29 @@ def write_raw(spark: SparkSession, raw: DataFrame, path: str) -> None:
 def raw_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
     """The loaded raw ``events`` table for ``sf_dir`` (the ingest job's output)."""
     memo_key = (id(spark), sf_dir, "raw")
-    if memo_key in _MEMO and not refresh:
-        return _MEMO[memo_key]
+    cached = None if refresh else _memo_get(spark, memo_key)
+    if cached is not None:
+        return cached
     path = table_path(spark, sf_dir, "raw")
     if refresh or not _complete(spark, path):
         write_raw(spark, adapter.camera_events(spark, sf_dir), path)
     df = spark.read.parquet(path)
-    _MEMO[memo_key] = df
+    _MEMO[memo_key] = (spark, df)
     return df
 
 
 def canonical_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
     """The staged canonical events for ``sf_dir`` (built on first use, or
     rebuilt when ``refresh`` is set)."""
-    memo_key = (id(spark), sf_dir)
-    if memo_key in _MEMO and not refresh:
-        return _MEMO[memo_key]
+    memo_key = (id(spark), sf_dir, "canonical")
+    cached = None if refresh else _memo_get(spark, memo_key)
+    if cached is not None:
+        return cached
     path = table_path(spark, sf_dir)
     if refresh or not _complete(spark, path):
         write_canonical(spark, raw_table(spark, sf_dir, refresh), path)
     df = spark.read.parquet(path)
-    _MEMO[memo_key] = df
+    _MEMO[memo_key] = (spark, df)
     return df
 
 
