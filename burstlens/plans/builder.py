@@ -280,6 +280,11 @@ EXAMPLES = {
         from {s} order by wildlife_ratio desc nulls first, date asc nulls last, camera_name asc limit 20""",
     "ex_case_band": """select camera_name, date, case when coalesce(avg_lux, 0) < 20 then 'dark' else 'bright' end
           as light_band from {s} order by light_band asc, date asc nulls last, camera_name asc limit 20""",
+    "ex_with_union": """with busy as (select camera_name, sum(total_rows) as n from {s} group by camera_name),
+          quiet as (select camera_name, sum(total_rows) as n from {s} where night_rows > 0 group by camera_name)
+        select 'all' as slice, camera_name, n from busy
+        union all select 'night', camera_name, n from quiet
+        union select 'all', camera_name, n from busy""",
 }
 
 
