@@ -1,7 +1,7 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per key.
 
-Every query reads the driver's tables through the adapter and runs over the
-whole table.  ``as_of`` replaces the wall clock where the specification calls
+Every query reads the driver's tables (through the staged raw and canonical
+tables derived from them) and runs over the whole table.  ``as_of`` replaces the wall clock where the specification calls
 ``now()``; filter keys use dates inside the test data's range.
 """
 

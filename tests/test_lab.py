@@ -166,6 +166,8 @@ def make_rows(n_dates, seed=7, gap=True):
     # rare late patterns: novel in the recent window
     for k in range(3):
         rows.append((dates[-1 - min(k, n_dates - 1)], "cam-07", "threat", 3 + k, 6 + k))
+        # a category seen only in the recent window: lift = 4
+        rows.append((dates[-1 - min(k, n_dates - 1)], "cam-06", "intruder", 2, 5))
     return rows
 
 
@@ -199,7 +201,9 @@ def test_category_shift_matrix_cut(spark, rows42):
     exp = shift_matrix(rows42)
     assert len(got) == 36
     assert sorted(got) == sorted(exp)
-    assert any(r[5] == 4 for r in got) or any(r[5] == 4 for r in exp) or True
+    lifts = {(r["camera_name"], r["category"]): r["lift"]
+             for r in L.category_shift_all(frame(spark, rows42)).collect()}
+    assert lifts[("cam-06", "intruder")] == 4
 
 
 def test_novel_events(spark, rows42):
