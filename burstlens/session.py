@@ -36,11 +36,18 @@ def get_session(cores: int | None = None, shuffle_partitions: int | None = None)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only if unset."""
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a local-mode session (tests, this bench) without one gets a scratch
+    folder; on a cluster a machine-local folder would not survive executor
+    loss, so a missing setting is an error there.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     path = configured or tempfile.mkdtemp(prefix="burstlens-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir()
