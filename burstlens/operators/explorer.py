@@ -1,7 +1,8 @@
 """Event explorer: filtered, sorted, paged event records and the row mapping.
 
-Pages and top-k lists are cut first (a bounded ``TakeOrderedAndProject``);
-the burst size of each listed row is then counted only for the groups on the
+Pages and top-k lists are cut first (a bounded ``TakeOrderedAndProject``) and
+checkpointed (at most ``page_size`` rows), so the sorted scan runs once; the
+burst size of each listed row is then counted only for the groups on the
 page (semi-join against at most ``page_size`` keys), instead of a window over
 every filtered row.
 """
@@ -14,10 +15,16 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import normalize as N
 from ..functions import scoring as S
+from ..sources.staging import materialize
 from . import canonical as C
 from .filters import SORT_KEYS, EventQuery
 
 
+def _sized(top: DataFrame, rows: DataFrame) -> DataFrame:
+    """Burst sizes for a cut list: the list is materialised once (bounded size)."""
+    return C.with_group_size(materialize(top), rows)
+
+
 def _pg_order(col: str, direction: str) -> Column:
     """Sort with PostgreSQL's null placement: asc -> nulls last, desc -> nulls first."""
     c = F.col(col)
@@ -79,8 +86,7 @@ def events_page(canon: DataFrame, query: EventQuery) -> DataFrame:
     rows = canon.filter(query.predicate())
     order = [_pg_order(SORT_KEYS[query.sort_by], query.sort_dir), F.col("id").asc()]
     page = rows.orderBy(*order).offset((query.page - 1) * query.page_size).limit(query.page_size)
-    with_size = C.with_group_size(page, rows)
-    return event_records(with_size, "category")
+    return event_records(_sized(page, rows), "category")
 
 
 def events_page_after(canon: DataFrame, query: EventQuery, after_value=None, after_id: str | None = None) -> DataFrame:
@@ -111,7 +117,7 @@ def events_page_after(canon: DataFrame, query: EventQuery, after_value=None, aft
         rows_after = rows
     order = [_pg_order(key, query.sort_dir), F.col("id").asc()]
     page = rows_after.orderBy(*order).limit(query.page_size)
-    return event_records(C.with_group_size(page, rows), "category")
+    return event_records(_sized(page, rows), "category")
 
 
 def notable_events(canon: DataFrame) -> DataFrame:
@@ -125,13 +131,13 @@ def notable_events(canon: DataFrame) -> DataFrame:
         c("id").asc(),
     ]
     top = canon.orderBy(*order).limit(K.NOTABLE_EVENTS)
-    return event_records(C.with_group_size(top, canon), "subject_category")
+    return event_records(_sized(top, canon), "subject_category")
 
 
 def day_events(day_rows: DataFrame) -> DataFrame:
     """The 50 newest events of one day (id breaks ties)."""
     top = day_rows.orderBy(F.col("local_timestamp").desc_nulls_first(), F.col("id").asc()).limit(K.DAY_EVENTS)
-    return event_records(C.with_group_size(top, day_rows), "category")
+    return event_records(_sized(top, day_rows), "category")
 
 
 def event_group_size(canon: DataFrame) -> DataFrame:
