@@ -123,9 +123,9 @@ def camera_forecast_leaders(cam_fc: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- L1
-def category_shift_all(combo: DataFrame) -> DataFrame:
+def category_shift_all(combo: DataFrame, win: DataFrame | None = None) -> DataFrame:
     """L1 before the cut: per (camera, category) recent vs baseline share."""
-    labels = window_labels(analysis_windows(combo))
+    labels = window_labels(analysis_windows(combo) if win is None else win)
     lab = combo.join(labels, "date")
     pairs = lab.groupBy("camera_name", "category").agg(
         F.sum(F.when(F.col("is_recent"), F.col("count")).otherwise(0)).alias("recent_count"),
@@ -153,14 +153,14 @@ def shift_order() -> list[Column]:
             F.col("camera_name").asc(), F.col("category").asc()]
 
 
-def category_shift_matrix(combo: DataFrame) -> DataFrame:
+def category_shift_matrix(combo: DataFrame, win: DataFrame | None = None) -> DataFrame:
     """L1: the 36 largest absolute shifts."""
-    return category_shift_all(combo).orderBy(*shift_order()).limit(K.SHIFT_TOP)
+    return category_shift_all(combo, win).orderBy(*shift_order()).limit(K.SHIFT_TOP)
 
 
 # ---------------------------------------------------------------- L2-L4
-def _novelty_inputs(combo: DataFrame):
-    win = analysis_windows(combo)
+def _novelty_inputs(combo: DataFrame, win: DataFrame | None = None, shifts: DataFrame | None = None):
+    win = analysis_windows(combo) if win is None else win
     labels = window_labels(win)
     elig = combo.filter(F.col("category") != F.lit(K.NOVELTY_EXCLUDED))
     lab = elig.join(labels, "date", "left")
@@ -170,10 +170,24 @@ def _novelty_inputs(combo: DataFrame):
         F.sum(F.when(F.col("is_baseline"), F.col("count")).otherwise(0)).alias("baseline_count"),
     )
     cat_hour = elig.groupBy("category", "hour").agg(F.sum("count").alias("category_hour_count"))
-    shifts = category_shift_matrix(combo).select("camera_name", "category", F.col("shift_pct").alias("_shift"))
-    days = window_day_counts(win)
-    max_combo = combos.agg(F.greatest(F.max("combo_count"), F.lit(1))).scalar()
-    max_cat_hour = cat_hour.agg(F.greatest(F.max("category_hour_count"), F.lit(1))).scalar()
+    shifts = (category_shift_matrix(combo, win) if shifts is None else shifts) \
+        .select("camera_name", "category", F.col("shift_pct").alias("_shift"))
+    # The four scalars (two maxima floored at 1, two window day counts) come
+    # from one one-row aggregate over a union, read as one struct-valued
+    # scalar subquery (executed once however often it is referenced).
+    parts = (combos.select(F.lit(0).alias("k"), F.col("combo_count").alias("v"))
+             .unionByName(cat_hour.select(F.lit(1).alias("k"), F.col("category_hour_count").alias("v")))
+             .unionByName(win.select(F.lit(2).alias("k"), F.col("is_recent").cast("bigint").alias("v")))
+             .unionByName(win.select(F.lit(3).alias("k"), F.col("is_baseline").cast("bigint").alias("v"))))
+    k, v = F.col("k"), F.col("v")
+    stats = parts.agg(F.struct(
+        F.greatest(F.max(F.when(k == 0, v)), F.lit(1)).alias("max_combo"),
+        F.greatest(F.max(F.when(k == 1, v)), F.lit(1)).alias("max_cat_hour"),
+        F.greatest(F.coalesce(F.sum(F.when(k == 2, v)), F.lit(0)), F.lit(1)).alias("recent_day_count"),
+        F.greatest(F.coalesce(F.sum(F.when(k == 3, v)), F.lit(0)), F.lit(1)).alias("baseline_day_count"),
+    ).alias("s")).scalar()
+    days = stats
+    max_combo, max_cat_hour = stats.getField("max_combo"), stats.getField("max_cat_hour")
     return win, lab, combos, cat_hour, shifts, days, max_combo, max_cat_hour
 
 
@@ -189,11 +203,13 @@ def _score(count_rate: Column, baseline_avg: Column, combo_count: Column, cat_ho
                            + w["deviation"] * deviation_score + w["shift"] * shift_score), 1)
 
 
-def novel_events(combo: DataFrame) -> DataFrame:
-    """L2: the 12 most novel (camera, category, hour) patterns of the recent window."""
-    _, _, combos, cat_hour, shifts, days, max_combo, max_cat_hour = _novelty_inputs(combo)
-    base_days = days.select("baseline_day_count").scalar()
-    recent_days = days.select("recent_day_count").scalar()
+def novel_events(combo: DataFrame, win: DataFrame | None = None, shifts: DataFrame | None = None) -> DataFrame:
+    """L2: the 12 most novel (camera, category, hour) patterns of the recent window.
+
+    ``win`` (W4) and ``shifts`` (L1, cut) may be passed in when already computed."""
+    _, _, combos, cat_hour, shifts, days, max_combo, max_cat_hour = _novelty_inputs(combo, win, shifts)
+    base_days = days.getField("baseline_day_count")
+    recent_days = days.getField("recent_day_count")
     rows = (combos.filter(F.col("current_count") > 0)
             .join(cat_hour, ["category", "hour"], "left")
             .join(shifts, ["camera_name", "category"], "left"))
@@ -221,9 +237,9 @@ def _driver(cam: Column, cat: Column, hour: Column) -> Column:
     return F.concat(cam, F.lit(" "), cat, F.lit(" @ "), hh(hour), F.lit(":00"))
 
 
-def novelty_by_date(combo: DataFrame, novel: DataFrame) -> DataFrame:
+def novelty_by_date(combo: DataFrame, novel: DataFrame, win: DataFrame | None = None) -> DataFrame:
     """L3: per recent date, count of rows in top novel patterns scoring >= 70 and the top driver."""
-    labels = window_labels(analysis_windows(combo)).filter(F.col("is_recent"))
+    labels = window_labels(analysis_windows(combo) if win is None else win).filter(F.col("is_recent"))
     hot = F.broadcast(novel.filter(F.col("novelty_score") >= K.NOVELTY_THRESHOLD)
                       .select("camera_name", "category", "hour", "novelty_score"))
     rows = (combo.filter(F.col("category") != F.lit(K.NOVELTY_EXCLUDED)).join(labels, "date")
@@ -235,11 +251,11 @@ def novelty_by_date(combo: DataFrame, novel: DataFrame) -> DataFrame:
     )
 
 
-def novelty_timeline(combo: DataFrame) -> DataFrame:
+def novelty_timeline(combo: DataFrame, win: DataFrame | None = None, shifts: DataFrame | None = None) -> DataFrame:
     """L4: every observed date with the volume, mean/max score, top driver and
     dominant category of its patterns scoring >= 70 (row count as the rate)."""
-    win, lab, combos, cat_hour, shifts, days, max_combo, max_cat_hour = _novelty_inputs(combo)
-    base_days = days.select("baseline_day_count").scalar()
+    win, lab, combos, cat_hour, shifts, days, max_combo, max_cat_hour = _novelty_inputs(combo, win, shifts)
+    base_days = days.getField("baseline_day_count")
     per = (lab.select("date", "camera_name", "category", "hour", "count")
            .join(combos.select("camera_name", "category", "hour", "combo_count", "baseline_count"),
                  ["camera_name", "category", "hour"])

@@ -198,6 +198,17 @@ def combo(spark, d):
     return staging.materialize(R.combo_daily(groups(spark, d)))
 
 
+def lab_inputs(spark, d, novel: bool = False):
+    """The materialised combo table plus its analysis windows, cut shift matrix
+    (and top novel patterns) as shared plan fragments: one definition each,
+    so identical sub-plans are reused instead of being re-derived."""
+    cb = combo(spark, d)
+    win = L.analysis_windows(cb)
+    sh = L.category_shift_matrix(cb, win)
+    nv = L.novel_events(cb, win, sh) if novel else None
+    return cb, win, sh, nv
+
+
 def cam_daily(spark, d):
     return staging.materialize(R.camera_daily(groups(spark, d)))
 
@@ -229,24 +240,26 @@ def q_shift(spark, d):
 
 @register("novel_events")
 def q_novel(spark, d):
-    return finish(L.novel_events(combo(spark, d)))
+    cb, win, sh, _ = lab_inputs(spark, d)
+    return finish(L.novel_events(cb, win, sh))
 
 
 @register("novelty_by_date")
 def q_novelty_by_date(spark, d):
-    c = combo(spark, d)
-    return finish(L.novelty_by_date(c, L.novel_events(c)))
+    cb, win, _, nv = lab_inputs(spark, d, novel=True)
+    return finish(L.novelty_by_date(cb, nv, win))
 
 
 @register("novelty_timeline")
 def q_novelty_timeline(spark, d):
-    return finish(L.novelty_timeline(combo(spark, d)))
+    cb, win, sh, _ = lab_inputs(spark, d)
+    return finish(L.novelty_timeline(cb, win, sh))
 
 
 @register("anomaly_timeline")
 def q_anomaly_timeline(spark, d):
-    c = combo(spark, d)
-    return finish(L.anomaly_timeline(canon(spark, d), L.novelty_by_date(c, L.novel_events(c))))
+    cb, win, _, nv = lab_inputs(spark, d, novel=True)
+    return finish(L.anomaly_timeline(canon(spark, d), L.novelty_by_date(cb, nv, win)))
 
 
 @register("camera_clusters")
@@ -265,9 +278,9 @@ def q_overview_insights(spark, d):
 
 @register("advanced_insights")
 def q_advanced_insights(spark, d):
-    cb = combo(spark, d)
+    _, _, sh, nv = lab_inputs(spark, d, novel=True)
     leaders = L.camera_forecast_leaders(L.camera_forecast(cam_daily(spark, d)))
-    return finish(L.advanced_insights(leaders, L.novel_events(cb), L.category_shift_matrix(cb)))
+    return finish(L.advanced_insights(leaders, nv, sh))
 
 
 @register("daily_trend_pivot")
