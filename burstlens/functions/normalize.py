@@ -257,3 +257,12 @@ def js_round(x: Column, digits: int = 1) -> Column:
 def r6(x: Column) -> Column:
     """Six-decimal rounding applied to reported doubles for stable comparison."""
     return F.round(x.cast("double"), 6)
+
+
+def literal(value) -> "Column":
+    """A literal; date-times become ``timestamp_ntz`` from their text so the
+    value never depends on the session or process time zone."""
+    import datetime as _dt
+    if isinstance(value, _dt.datetime):
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value)

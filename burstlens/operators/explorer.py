@@ -107,7 +107,7 @@ def events_page_after(canon: DataFrame, query: EventQuery, after_value=None, aft
             # nulls sort last ascending (nothing non-null follows) and first descending
             after = (k.isNull() & (i > after_id)) if asc else (k.isNotNull() | (k.isNull() & (i > after_id)))
         else:
-            v = F.lit(after_value)
+            v = N.literal(after_value)
             beyond = (k > v) if asc else (k < v)
             after = beyond | ((k == v) & (i > after_id))
             if asc:

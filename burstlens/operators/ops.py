@@ -25,7 +25,7 @@ def _as_of(canon: DataFrame, as_of) -> Column:
         return canon.agg(F.max("local_timestamp")).scalar()
     if isinstance(as_of, str):
         as_of = dt.datetime.fromisoformat(as_of)
-    return F.lit(as_of).cast("timestamp_ntz")
+    return N.literal(as_of)
 
 
 def _pct(part: Column, whole: Column) -> Column:
