@@ -1,6 +1,6 @@
 """Result shaping for comparable, engine-neutral output types.
 
-Reported doubles are rounded to 6 places, integers widened to bigint, dates
+Reported doubles are rounded to 6 places (order-independent, see ``round6``), integers widened to bigint, dates
 and timestamps rendered as text.  Integer columns that may hold nulls are
 reported as doubles and nullable booleans as 'true'/'false' text, so both
 engines hand back the same value types.
@@ -15,17 +15,23 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 
 
+def round6(c):
+    """Six places, half away from zero, after snapping float noise at ten
+    places: the result does not depend on the order doubles were summed."""
+    return F.round(F.round(c.cast("double"), 10).try_cast("decimal(38,10)"), 6).cast("double")
+
+
 def finish(df: DataFrame, as_double: tuple[str, ...] = (), as_text: tuple[str, ...] = ()) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         t = f.dataType
         if f.name in as_double:
-            c = F.round(c.cast("double"), 6)
+            c = round6(c)
         elif f.name in as_text:
             c = c.cast("string")
         elif isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6)
+            c = round6(c)
         elif isinstance(t, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(t, T.DateType):
