@@ -21,6 +21,11 @@ def get_session(cores: int | None = None, shuffle_partitions: int | None = None)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # long sessions (bench, tests) run thousands of jobs: keep little history
+        .config("spark.ui.retainedJobs", "100")
+        .config("spark.ui.retainedStages", "200")
+        .config("spark.ui.retainedTasks", "10000")
+        .config("spark.sql.ui.retainedExecutions", "50")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
