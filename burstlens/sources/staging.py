@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import threading
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,9 @@ from ..operators import canonical as C
 from . import adapter
 
 _MEMO: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+# One builder at a time per process: concurrent first calls must not write
+# the same table twice.
+_LOCK = threading.RLock()
 
 
 def _memo_get(spark: SparkSession, key: tuple) -> DataFrame | None:
@@ -95,12 +99,16 @@ def raw_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFr
     cached = None if refresh else _memo_get(spark, memo_key)
     if cached is not None:
         return cached
-    path = table_path(spark, sf_dir, "raw")
-    if refresh or not _complete(spark, path):
-        write_raw(spark, adapter.camera_events(spark, sf_dir), path)
-    df = spark.read.parquet(path)
-    _MEMO[memo_key] = (spark, df)
-    return df
+    with _LOCK:
+        cached = None if refresh else _memo_get(spark, memo_key)
+        if cached is not None:
+            return cached
+        path = table_path(spark, sf_dir, "raw")
+        if refresh or not _complete(spark, path):
+            write_raw(spark, adapter.camera_events(spark, sf_dir), path)
+        df = spark.read.parquet(path)
+        _MEMO[memo_key] = (spark, df)
+        return df
 
 
 def canonical_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
@@ -110,12 +118,16 @@ def canonical_table(spark: SparkSession, sf_dir: str, refresh: bool = False) ->
     cached = None if refresh else _memo_get(spark, memo_key)
     if cached is not None:
         return cached
-    path = table_path(spark, sf_dir)
-    if refresh or not _complete(spark, path):
-        write_canonical(spark, raw_table(spark, sf_dir, refresh), path)
-    df = spark.read.parquet(path)
-    _MEMO[memo_key] = (spark, df)
-    return df
+    with _LOCK:
+        cached = None if refresh else _memo_get(spark, memo_key)
+        if cached is not None:
+            return cached
+        path = table_path(spark, sf_dir)
+        if refresh or not _complete(spark, path):
+            write_canonical(spark, raw_table(spark, sf_dir, refresh), path)
+        df = spark.read.parquet(path)
+        _MEMO[memo_key] = (spark, df)
+        return df
 
 
 def materialize(df: DataFrame) -> DataFrame:
