@@ -64,3 +64,16 @@ def test_named_views_for_free_sql(spark):
     assert names == ["ws_daily_camera_summary", "ws_dim_devices", "ws_events"]
     n = spark.sql("select count(*) from ws_events e join ws_dim_devices d on e.mac = d.mac").first()[0]
     assert n > 0
+
+
+def test_text_and_boolean_operators(spark, rels):
+    ev = rels["events"]
+    spec = B.BuilderSpec(relation="events", columns=("id",), limit=1200, filters=(
+        B.Filter("analysis_title", "ILIKE", "title CLICK%"), B.Filter("uploaded", "=", "true"),
+        B.Filter("sensor", "IN", "F, B")))
+    got = {r["id"] for r in B.build(rels, spec).collect()}
+    exp = {r["id"] for r in ev.filter("lower(analysis_title) like 'title click%' and uploaded = true "
+                                      "and sensor in ('F', 'B')").collect()}
+    assert 0 < len(exp) <= 1200 and got == exp
+    like = B.BuilderSpec(relation="dim_devices", columns=("mac",), filters=(B.Filter("camera_name", "LIKE", "cam-0%"),))
+    assert {r["mac"] for r in B.build(rels, like).collect()} == {"mac-00", "mac-03", "mac-06", "mac-09"}
