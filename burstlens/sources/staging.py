@@ -2,11 +2,10 @@
 
 Canonicalisation is a wide projection whose cost (JSON parse, keyword ladder,
 range checks) and analysis time would otherwise be paid by every report.  The
-staging job runs it once, clusters rows by ``(event_date, camera_name)`` with
-a range partitioner (which splits a hot date over several tasks instead of
-sending it to one) and writes sorted parquet files.  Reports then prune
-columns at the scan, and date predicates skip files and row groups through
-the parquet min/max statistics of the clustered ``event_date``.
+staging job runs it once over the time-clustered bronze table, without a
+shuffle, and writes parquet partitioned by ``event_date`` (sorted by camera
+inside).  Reports then prune columns at the scan and date predicates prune
+whole folders.
 
 The raw (bronze) ``events`` table is staged the same way: it is what the
 ingest job loads, and reports over stored columns (daily summary, exports,
@@ -22,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import sys
 import threading
 
 from pyspark.errors import AnalysisException
@@ -60,7 +60,8 @@ def _digest(*modules) -> str:
 
 
 def table_path(spark: SparkSession, sf_dir: str, kind: str = "canonical") -> str:
-    mods = (adapter,) if kind == "raw" else (normalize, C, adapter)
+    this = sys.modules[__name__]  # the layout code is part of the key too
+    mods = (adapter, this) if kind == "raw" else (normalize, C, adapter, this)
     key = hashlib.sha1(f"{sf_dir.rstrip('/')}|{_digest(*mods)}".encode()).hexdigest()[:16]
     return f"{shared_dir(spark)}/burstlens/{kind}/{key}"
 
@@ -78,13 +79,14 @@ def _parts(spark: SparkSession) -> int:
 
 
 def write_canonical(spark: SparkSession, raw: DataFrame, path: str) -> None:
-    """Range-cluster by (date, camera, id): ``id`` lets the sampler split even a
-    single hot (date, camera) over several tasks.  The file count follows
-    ``spark.sql.shuffle.partitions`` (sized by the operator for the data)."""
+    """Silver write without a shuffle: the bronze table is already clustered
+    by capture time, so each task sorts its own split by (date, camera, id)
+    and writes one folder per ``event_date``.  No sampling pass (a range
+    partitioner would evaluate the whole canonical projection twice) and no
+    shuffle for a hot key to skew; date filters prune whole folders."""
     canon = C.canonical(raw)
-    (canon.repartitionByRange(_parts(spark), "event_date", "camera_name", "id")
-     .sortWithinPartitions("event_date", "camera_name", "id")
-     .write.mode("overwrite").parquet(path))
+    (canon.sortWithinPartitions("event_date", "camera_name", "id")
+     .write.mode("overwrite").partitionBy("event_date").parquet(path))
 
 
 def write_raw(spark: SparkSession, raw: DataFrame, path: str) -> None:

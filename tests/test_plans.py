@@ -27,6 +27,7 @@ def test_canonical_scan_is_pruned(spark):
     assert "subject_category" in read and "event_group" in read and "analysis" not in read
 
 
-def test_date_filter_reaches_the_scan(spark):
+def test_date_filter_prunes_folders(spark):
     df = queries()["day_summary_totals"](spark, SMALL)
-    assert "PushedFilters: [IsNotNull(event_date), EqualTo(event_date" in plan_text(df)
+    assert "PartitionFilters: [isnotnull(event_date" in plan_text(df)
+    assert "(event_date#" in plan_text(df).split("PartitionFilters: ")[1].split("]")[0]
