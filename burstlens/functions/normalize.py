@@ -41,10 +41,6 @@ def analysis_json() -> Column:
     return F.coalesce(col("analysis"), F.when(looks_json, desc))
 
 
-def json_text(doc: Column, path: str) -> Column:
-    return F.get_json_object(doc, path)
-
-
 # Top-level analysis fields read as text: one JSON parse per row; nested
 # objects come back as their JSON text (same values as ``get_json_object``).
 ANALYSIS_FIELDS = "title string, summary string, details string, keywords string"

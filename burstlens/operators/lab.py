@@ -70,13 +70,6 @@ def window_labels(windows: DataFrame) -> DataFrame:
                        .select("date", "is_recent", "is_baseline"))
 
 
-def window_day_counts(windows: DataFrame) -> DataFrame:
-    return windows.agg(
-        F.greatest(F.count_if(F.col("is_recent")), F.lit(1)).alias("recent_day_count"),
-        F.greatest(F.count_if(F.col("is_baseline")), F.lit(1)).alias("baseline_day_count"),
-    )
-
-
 # ---------------------------------------------------------------- W2
 def forecast(daily: DataFrame) -> DataFrame:
     """Fleet daily total vs the mean of the previous (up to) 7 observed dates."""
