@@ -14,8 +14,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
-
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -88,15 +86,22 @@ def passes(rules=RULES) -> Column:
     return reduce(lambda a, b: a & b, (inside(r, low, high) for _, r, low, high in rules), F.lit(True))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, keep_text: bool = False) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES,
+            carry: str | None = None) -> DataFrame:
     """(doc_id, n_words, measures, base_failed, kept) for every row.
 
     A null or empty text has no words and fails.  Rows with null or repeated
     ids are judged one by one.  ``rules`` may be replaced by another table of
     the same form; an empty table keeps all that the base rules keep.
+    ``carry`` names a column that is handed through.
     """
-    rows = id_text(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       *([F.col(f"`{carry}`")] if carry else []))
     out = _measures(rows)
     failed = (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PCT * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & passes(rules))
-    return out if keep_text else out.drop("text")
+    # A condition on the verdict must not be pushed below the measures: it would
+    # be rewritten in terms of the text, with every shared step repeated.  The
+    # always-true test on a row number keeps it above.
+    here = F.monotonically_increasing_id() >= 0
+    out = out.withColumn("base_failed", failed & here).withColumn("kept", ~F.col("base_failed") & passes(rules) & here)
+    return out.drop("text")

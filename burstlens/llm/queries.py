@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, sharding, simhash, topk
+from . import bpe, language, lines, packing, quality, secrets, sharding, simhash, substrings, topk
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), distance=2, words_per_shingle=3)
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -33,6 +37,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.written(F.col("spans")).alias("spans"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -57,13 +65,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), capacity=2048)
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicate(documents(spark, sf_dir)).drop("kept", "other")
+
+
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_simhash": op2_simhash,
     "op3_secret_scan": op3_secret_scan,
+    "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op6_topk": op6_topk,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
+    "op10_lines": op10_lines,
 }
 ORACLE: dict[str, str] = {}

@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
 
 # fixed values: the base kinds in their listed order; (name, pattern, group that is measured, least characters)
 BASE = (
@@ -129,7 +128,8 @@ def secret_spans(text: Column) -> dict[str, Column]:
     return spans
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False,
+         carry: str | None = None) -> DataFrame:
     """(doc_id, base, extra, spans[, text]) for every row, no shuffle.
 
     base: kept base spans, sorted by start then kind; extra: entropy spans not
@@ -137,9 +137,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_t
     code points (stop exclusive), kind and the matched string.  A null or empty
     text has no spans; repeated rows and null ids pass through unchanged.
     """
-    cols = ["doc_id", "text"] if keep_text else ["doc_id"]
+    cols = ["doc_id", *(["text"] if keep_text else []), *([carry] if carry else [])]
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = id_text(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       *([F.col(f"`{carry}`")] if carry else []))
     found = secret_spans(text)
     step = rows.select(*cols, *(c.alias(n) for n, c in found.items()),
                        _positions(text, CANDIDATE, CLASSES[0][0]).alias("candidates"))

@@ -49,16 +49,21 @@ def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(begin)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) for every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text",
+                 text_key: bool = False) -> DataFrame:
+    """(doc_id, fp long[, tag]) for every row; a null text counts as empty.
+    ``text_key`` adds a 64-bit hash of the text, to find a row again."""
     def run(batches):
         for batch in batches:
             data, off = utf8(batch.column(1))
             raw = data.tobytes()
             fps = [fingerprint(raw[a:b], words_per_shingle) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]],
+                                             ["doc_id", "fp"] + ["tag"] * text_key)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = id_text(docs, id_col, text_col)
+    rows = rows.withColumn("tag", F.xxhash64("text")) if text_key else rows
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", tag long" * text_key)
 
 
 def _segments(distance: int) -> list[tuple[int, int]]:
@@ -106,8 +111,8 @@ def _flipped(i: int, first: Column, second: Column):
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, words_per_shingle: int = 3, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row.
+                    text_col: str = "text", text_key: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id[, tag]) for every row.
 
     component_id is the smallest doc_id that can be reached over links of at
     most ``distance`` differing bits.  Empty and null texts have fingerprint 0
@@ -116,7 +121,7 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words_per_shingle: int =
     an id shares or reaches it.
     """
     spark = docs.sparkSession
-    fps = stage(fingerprints(docs, words_per_shingle, id_col, text_col), "fps")
+    fps = stage(fingerprints(docs, words_per_shingle, id_col, text_col, text_key), "fps")
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     found = components(links(nodes.filter("node is not null"), distance)) if distance else None
     release(spark)
@@ -125,7 +130,8 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words_per_shingle: int =
         nodes = nodes.select("fp", F.coalesce("root", "node").alias("component_id"))
     else:
         nodes = nodes.withColumnRenamed("node", "component_id")
-    return fps.join(stage(nodes, "classes"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(stage(nodes, "classes"), "fp").select(
+        "doc_id", "fp", "component_id", *(["tag"] if text_key else []))
 
 
 def hex_fingerprint(fp: Column) -> Column:
