@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -32,9 +33,12 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished, unreferenced jobs
-    now instead of at the driver's next garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+    now instead of at the driver's next garbage collection.  The second round
+    finds what the first one's clean-up let go of."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+        time.sleep(0.4)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stage
+from .common import stage
 
 
 def _print(edges: DataFrame):
@@ -39,6 +39,5 @@ def components(edges: DataFrame) -> DataFrame:
     while (seen := _print(now)) != before and seen["n"]:
         before = seen
         now = stage(_small_star(stage(_large_star(now), "large")), "small")
-        release(edges.sparkSession)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 SCHEMA = "bucket int, code int, doc long, tag long, data binary"
@@ -17,17 +18,22 @@ NO_ID = (1 << 63) - 1  # stands for a null doc_id: after every other
 
 
 def to_blob(*columns: np.ndarray) -> bytes:
+    """Columns byte plane by byte plane (the high bytes of sorted or small
+    numbers then shrink to nothing), compressed."""
     head = np.array([len(columns), *(x for c in columns for x in (ord(c.dtype.char), len(c)))], np.int64)
-    return head.tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() if len(c) else b"" for c in columns]
+    return head.tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def from_blob(blob: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     head = np.frombuffer(blob, np.int64, 2 * n, 8)
-    out, at = [], 8 + 16 * n
+    raw = zstandard.ZstdDecompressor().decompress(blob[8 + 16 * n:])
+    out, at = [], 0
     for kind, size in zip(head[::2].tolist(), head[1::2].tolist()):
         kind = np.dtype(chr(kind))
-        out.append(np.frombuffer(blob, kind, size, at))
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += size * kind.itemsize
     return out
 
@@ -38,6 +44,12 @@ def batch(bucket, code, doc, tag, data) -> pa.RecordBatch:
          pa.array(data, pa.binary())], ["bucket", "code", "doc", "tag", "data"])
 
 
+def through(columns, buckets: int) -> pa.RecordBatch:
+    """Result rows that pass a bucket; copies of a text go to different ones."""
+    code, doc, tag, data = columns
+    return batch([(d ^ t) % buckets for d, t in zip(doc, tag)], code, doc, tag, data)
+
+
 def result(code, doc, tag, data) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(code, pa.int32()), pa.array(data, pa.binary())],

@@ -105,29 +105,33 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(state[-1] >> last & 1)
 
 
+COUNTERS = 16
+
+
 @lru_cache(maxsize=1)
 def _sketch_table() -> np.ndarray:
-    """Which of eight counters a byte adds to."""
-    return (np.arange(256) * 37 % 251 % 8).astype(np.int64)
+    """Which counter a byte adds to."""
+    return (np.arange(256) * 37 % 251 % COUNTERS).astype(np.int64)
 
 
 def sketches(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Eight 4-bit counters (modulo 16) of the characters' first bytes, as uint32.
-    One edit changes at most two counters, each by one."""
+    """Sixteen 4-bit counters (modulo 16) of the characters' first bytes, as
+    uint64.  One edit changes at most two counters, each by one."""
     size = end - begin
     at = gather(begin, size)
     owner = np.repeat(np.arange(len(begin)), size)
     own = data[at]
     first = (own & 0xC0) != 0x80
-    counts = np.bincount(owner[first] * 8 + _sketch_table()[own[first]], minlength=8 * len(begin)).reshape(-1, 8) % 16
-    return (counts.astype(np.uint32) << (4 * np.arange(8, dtype=np.uint32))).sum(1, dtype=np.uint32)
+    counts = np.bincount(owner[first] * COUNTERS + _sketch_table()[own[first]], minlength=COUNTERS * len(begin))
+    counts = counts.reshape(-1, COUNTERS).astype(np.uint64) % np.uint64(16)
+    return (counts << (np.uint64(4) * np.arange(COUNTERS, dtype=np.uint64))).sum(1, dtype=np.uint64)
 
 
 def sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     total = np.zeros(len(a), np.int64)
-    for i in range(8):
-        d = ((a >> np.uint32(4 * i)) - (b >> np.uint32(4 * i))) & np.uint32(15)
-        total += np.minimum(d, np.uint32(16) - d)
+    for i in range(COUNTERS):
+        d = ((a >> np.uint64(4 * i)) - (b >> np.uint64(4 * i))) & np.uint64(15)
+        total += np.minimum(d, np.uint64(16) - d).astype(np.int64)
     return total
 
 
@@ -181,7 +185,7 @@ def _map(buckets: int, edits: int, least: int):
         again = ~new
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         again &= (owner != owner[lead]) | (number != number[lead])  # a repeated row repeats its own lines
-        yield X.batch(*_with_bucket(X.per_document(EXACT, docs, owner[again], _entry(one[again], number[again])), buckets))
+        yield X.through(X.per_document(EXACT, docs, owner[again], _entry(one[again], number[again])), buckets)
         yield X.deal(one[new], buckets, docs, owner[new], one[new], two[new], number[new].astype(np.uint32))
         own = order[new]
         line, sketch, index, asked = one[new], sketch[own], index[own], asked[own]
@@ -229,11 +233,6 @@ def _entries(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.int64).reshape(-1, 2)
 
 
-def _with_bucket(columns, buckets: int):
-    code, doc, tag, data = columns
-    return [t % buckets for t in tag], code, doc, tag, data
-
-
 def _reduce(edits: int):
     def run(blobs):
         lines, shared = [], []
