@@ -227,7 +227,7 @@ class Lexicon:
         out = np.full(len(start), -1, np.int64)
         step = 0
         while len(live):
-            key = state[live] << 8 | data[start[live] + step]
+            key = (state[live] << 8 | data[start[live] + step]).astype(self.edge.dtype)
             at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
             hit = self.edge[at] == key
             live, at = live[hit], at[hit]
@@ -242,20 +242,21 @@ class Lexicon:
         return out
 
     def packed(self) -> bytes:
-        parts = [np.ascontiguousarray(getattr(self, n)).astype(np.int64) for n in self.NAMES]
-        head = np.array([len(p) for p in parts], np.int64)
+        parts = [np.ascontiguousarray(getattr(self, n)).astype(np.int32) for n in self.NAMES]
+        head = np.array([len(p) for p in parts], np.int32)
         return head.tobytes() + b"".join(p.tobytes() for p in parts)
 
     @classmethod
     def mapped(cls, packed: bytes) -> Lexicon:
-        """Write the arrays to this worker's scratch folder once and memory-map them."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha1(packed).hexdigest()[:16]}.bin")
-        if not os.path.exists(path):
-            fd, draft = tempfile.mkstemp(dir=os.path.dirname(path))
+        """Write the arrays to a scratch file and memory-map them; the file's
+        name goes at once, its pages live as long as the mapping."""
+        fd, path = tempfile.mkstemp(prefix="lexicon-")
+        try:
             with os.fdopen(fd, "wb") as f:
                 f.write(packed)
-            os.replace(draft, path)
-        flat = np.memmap(path, np.int64, "r")
+            flat = np.memmap(path, np.int32, "r")
+        finally:
+            os.unlink(path)
         n = len(cls.NAMES)
         ends = n + np.cumsum(flat[:n])
         return cls({name: flat[e - s:e] for name, s, e in zip(cls.NAMES, flat[:n], ends)})
