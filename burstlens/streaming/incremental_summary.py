@@ -2,9 +2,9 @@
 
 The batch job rebuilds the whole daily summary.  This Structured Streaming
 job does the same work incrementally: each micro-batch of newly landed raw
-event files is de-duplicated on ``id`` (within a watermark on capture time),
-appended to the events table only for ids not already there (the
-insert-if-absent merge), and the summary is recomputed for just the dates the
+event files is appended to the events table only for ids not already there (the
+insert-if-absent merge, which also drops repeats; no watermark, so a camera's
+late backlog is kept however old it is), and the summary is recomputed for just the dates the
 batch touched, replacing those date partitions.
 
 Replaying a micro-batch after a failure is harmless: the anti-join skips rows
@@ -35,7 +35,6 @@ def summary_batch_writer(events_path: str, summary_path: str):
     """``foreachBatch`` body: merge the batch into events, refresh touched dates."""
     def write(batch: DataFrame, epoch_id: int) -> None:  # noqa: ARG001 - idempotent by construction
         spark = batch.sparkSession
-        batch = batch.drop("_event_time")
         schema = batch.drop("_order").schema
         existing = _existing(spark, events_path, schema)
         new_rows = merge_insert_ignore(existing, batch, "_order")
@@ -44,23 +43,17 @@ def summary_batch_writer(events_path: str, summary_path: str):
         touched = batch.select(F.to_date(F.col("`timestamp`")).alias("date")).distinct()
         events = spark.read.parquet(events_path)
         day = F.to_date(F.col("`timestamp`"))
-        affected = events.join(F.broadcast(touched), day.eqNullSafe(touched["date"]), "left_semi")
+        affected = events.join(touched, day.eqNullSafe(touched["date"]), "left_semi")
         write_daily_summary(daily_camera_summary(affected), summary_path)
     return write
 
 
 def start_incremental_summary(spark: SparkSession, source_dir: str, events_path: str, summary_path: str,
-                              checkpoint: str, schema, watermark: str = "2 days",
-                              available_now: bool = True) -> StreamingQuery:
+                              checkpoint: str, schema, available_now: bool = True) -> StreamingQuery:
     """Stream raw event parquet files from ``source_dir`` into the events table
     and the daily summary.  ``checkpoint`` must be on shared storage."""
-    # utc_timestamp is a UTC wall clock: as an instant it is the event time.
-    stream = (spark.readStream.schema(schema).parquet(source_dir)
-              .withColumn("_order", F.col("utc_timestamp"))
-              .withColumn("_event_time", F.to_utc_timestamp(F.col("utc_timestamp").cast("timestamp"),
-                                                             spark.conf.get("spark.sql.session.timeZone"))))
-    deduped = stream.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark(["id"])
-    writer = (deduped.writeStream.foreachBatch(summary_batch_writer(events_path, summary_path))
+    stream = spark.readStream.schema(schema).parquet(source_dir).withColumn("_order", F.col("utc_timestamp"))
+    writer = (stream.writeStream.foreachBatch(summary_batch_writer(events_path, summary_path))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

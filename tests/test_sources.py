@@ -96,3 +96,12 @@ def test_staged_tables_are_reused_and_complete(spark):
     b = staging.raw_table(spark, SMALL)
     assert a is b
     assert os.path.exists(staging.table_path(spark, SMALL, "raw").replace("file:", "") + "/_SUCCESS")
+
+
+def test_merge_insert_ignore_null_and_tied_order(spark):
+    existing = spark.createDataFrame([("a", 1)], "id string, v int")
+    rows = [("b", 2, None), ("c", 9, None), ("c", 3, 5), ("d", 5, 7), ("d", 4, 7), (None, 1, 1), ("a", 8, 1)]
+    incoming = spark.createDataFrame(rows, "id string, v int, o int")
+    for frame in (incoming, incoming.repartition(4)):
+        out = {r["id"]: r["v"] for r in ingest.merge_insert_ignore(existing, frame, "o").collect()}
+        assert out == {"b": 2, "c": 3, "d": 4}
