@@ -81,7 +81,7 @@ select concat('mac-', lpad(cast(n_nationkey as string), 2, '0')) as mac,
        n_name as location_name, concat('R', cast(n_regionkey as string)) as location_code,
        40e0 + n_nationkey * 0.1e0 as latitude, -110e0 - n_nationkey * 0.1e0 as longitude,
        concat('profile ', n_name) as camera_profile, '' as notes
-from {src} where n_nationkey % 3 = 0 and n_nationkey < 24
+from {src}
 """
 
 

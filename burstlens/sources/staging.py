@@ -11,9 +11,10 @@ The raw (bronze) ``events`` table is staged the same way: it is what the
 ingest job loads, and reports over stored columns (daily summary, exports,
 workspace relations) read it instead of re-deriving rows per query.
 
-The tables live under the cluster's shared ``spark.checkpoint.dir``; its
-location is keyed by the source path and a digest of the rule code, so a rule
-change is never served from an older table.  Completion is marked by the
+The tables live under the cluster's shared ``spark.checkpoint.dir``; their
+location is keyed by the source path, the version of its files (names, lengths,
+modification times) and a digest of the rule code with its constants, so a
+changed source or rule is never served from an older table.  Completion is marked by the
 committer's ``_SUCCESS`` file; an unfinished write is simply redone.
 """
 
@@ -27,7 +28,7 @@ import threading
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import normalize
+from ..functions import constants, normalize
 from ..operators import canonical as C
 from . import adapter
 
@@ -59,10 +60,23 @@ def _digest(*modules) -> str:
     return hashlib.sha1(text.encode()).hexdigest()[:12]
 
 
+def source_version(spark: SparkSession, path: str) -> str:
+    """Names, lengths and modification times of the files under ``path`` as any
+    Hadoop file system lists them (no job runs)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    listed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)  # noqa: SLF001
+    files = []
+    while listed.hasNext():
+        f = listed.next()
+        files.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(files)).encode()).hexdigest()[:16]
+
+
 def table_path(spark: SparkSession, sf_dir: str, kind: str = "canonical") -> str:
     this = sys.modules[__name__]  # the layout code is part of the key too
-    mods = (adapter, this) if kind == "raw" else (normalize, C, adapter, this)
-    key = hashlib.sha1(f"{sf_dir.rstrip('/')}|{_digest(*mods)}".encode()).hexdigest()[:16]
+    mods = (adapter, this) if kind == "raw" else (constants, normalize, C, adapter, this)
+    root = sf_dir.rstrip("/")
+    key = hashlib.sha1(f"{root}|{source_version(spark, f'{root}/events.parquet')}|{_digest(*mods)}".encode()).hexdigest()[:16]
     return f"{shared_dir(spark)}/burstlens/{kind}/{key}"
 
 
@@ -97,7 +111,8 @@ def write_raw(spark: SparkSession, raw: DataFrame, path: str) -> None:
 
 def raw_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
     """The loaded raw ``events`` table for ``sf_dir`` (the ingest job's output)."""
-    memo_key = (id(spark), sf_dir, "raw")
+    path = table_path(spark, sf_dir, "raw")
+    memo_key = (id(spark), path)
     cached = None if refresh else _memo_get(spark, memo_key)
     if cached is not None:
         return cached
@@ -105,7 +120,6 @@ def raw_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFr
         cached = None if refresh else _memo_get(spark, memo_key)
         if cached is not None:
             return cached
-        path = table_path(spark, sf_dir, "raw")
         if refresh or not _complete(spark, path):
             write_raw(spark, adapter.camera_events(spark, sf_dir), path)
         df = spark.read.parquet(path)
@@ -116,7 +130,8 @@ def raw_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFr
 def canonical_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
     """The staged canonical events for ``sf_dir`` (built on first use, or
     rebuilt when ``refresh`` is set)."""
-    memo_key = (id(spark), sf_dir, "canonical")
+    path = table_path(spark, sf_dir)
+    memo_key = (id(spark), path)
     cached = None if refresh else _memo_get(spark, memo_key)
     if cached is not None:
         return cached
@@ -124,7 +139,6 @@ def canonical_table(spark: SparkSession, sf_dir: str, refresh: bool = False) ->
         cached = None if refresh else _memo_get(spark, memo_key)
         if cached is not None:
             return cached
-        path = table_path(spark, sf_dir)
         if refresh or not _complete(spark, path):
             write_canonical(spark, raw_table(spark, sf_dir, refresh), path)
         df = spark.read.parquet(path)

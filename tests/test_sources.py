@@ -105,3 +105,20 @@ def test_merge_insert_ignore_null_and_tied_order(spark):
     for frame in (incoming, incoming.repartition(4)):
         out = {r["id"]: r["v"] for r in ingest.merge_insert_ignore(existing, frame, "o").collect()}
         assert out == {"b": 2, "c": 3, "d": 4}
+
+
+def test_staged_tables_follow_source_and_rules(spark, scratch, monkeypatch):
+    import os
+
+    from burstlens.sources import staging
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    where = os.path.join(scratch, "events.parquet")
+    events.write.parquet(where)
+    n = events.count()
+    assert staging.canonical_table(spark, scratch).count() == n
+    events.withColumn("event_id", events["event_id"] + 10_000_000).write.mode("append").parquet(where)
+    assert staging.canonical_table(spark, scratch).count() == 2 * n
+    before = staging.table_path(spark, scratch)
+    real = staging.inspect.getsource
+    monkeypatch.setattr(staging.inspect, "getsource", lambda m: real(m) + "#" * (m is staging.constants))
+    assert staging.table_path(spark, scratch) != before

@@ -29,3 +29,14 @@ def test_available_now_stream_equals_batch(spark, scratch):
     cols = [c for c in exp.columns]
     assert got.select(*cols).exceptAll(exp.select(*cols)).count() == 0
     assert exp.select(*cols).exceptAll(got.select(*cols)).count() == 0
+
+
+def test_late_rows_are_kept(spark, scratch):
+    raw = staging.raw_table(spark, SMALL)
+    src = os.path.join(scratch, "landing")
+    events, summary, ckpt = (os.path.join(scratch, n) for n in ("events", "summary", "ckpt"))
+    late = "utc_timestamp < timestamp '2024-01-10 00:00:00'"
+    for part, rows in (("new", raw.filter(f"not ({late})")), ("old", raw.filter(late))):
+        rows.write.parquet(os.path.join(src, part))
+        start_incremental_summary(spark, os.path.join(src, "*"), events, summary, ckpt, raw.schema).awaitTermination()
+    assert spark.read.parquet(events).count() == raw.count()
