@@ -15,8 +15,8 @@ from burstlens.llm import lines, packing, quality, secrets, simhash
 from burstlens.llm.common import documents, stage
 from burstlens.llm.queries import tokenizer_path
 
-# SQL can express neither the edit join nor the packing plan; the tests hold
-# run() against a brute-force version
+# SQL can express neither the edit join nor the packing plan; the tests check
+# the stages one after the other on a small fixture with known results
 ORACLE_SQL = None
 
 
