@@ -74,8 +74,6 @@ STALE_CAMERAS = 6
 DAY_EVENTS = 50
 EVENT_PAGE_SIZE = 25
 EVENT_PAGE_MAX = 200
-CSV_ROW_CAP = 5000
-HEAD_EXPORT_ROWS = 1000
 
 # Camera health score.
 CAM_HEALTH_PENALTIES = dict(upload_pct_below_95=18, ai_pct_below_90=12, json_pct_below_90=10,

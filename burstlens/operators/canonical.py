@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import normalize as N
 
-# Output columns of ``base`` (event_group_size is added by ``with_group_size``).
+# Output columns of ``base`` (event_group_size is added by ``with_group_size_full``).
 BASE_COLUMNS = [
     "id", "camera_name", "name", "mac", "event_group", "sequence", "local_timestamp",
     "utc_timestamp", "utc_timestamp_off", "created", "ai_timestamp", "json_timestamp", "timezone",
@@ -124,20 +124,6 @@ def group_sizes(canon: DataFrame) -> DataFrame:
     return canon.groupBy("event_group").agg(F.count(F.lit(1)).cast("int").alias("event_group_size"))
 
 
-def with_group_size(rows: DataFrame, canon: DataFrame) -> DataFrame:
-    """Attach the burst size computed over ``canon`` to ``rows``.
-
-    ``rows`` is usually a small, already cut page; only groups present in it
-    are counted (semi-join against the page's distinct groups, whose size is
-    bounded by the page).  Null groups match null groups as the window did.
-    """
-    keys = rows.select(F.col("event_group").alias("_g")).distinct()
-    wanted = canon.join(F.broadcast(keys), canon["event_group"].eqNullSafe(keys["_g"]), "left_semi")
-    sizes = group_sizes(wanted).withColumnRenamed("event_group", "_g")
-    joined = rows.join(sizes, rows["event_group"].eqNullSafe(sizes["_g"]), "left")
-    return joined.drop("_g")
-
-
 def with_group_size_full(canon: DataFrame) -> DataFrame:
     """Burst size on every row (unbounded input: shuffle join, AQE splits skew)."""
     sizes = group_sizes(canon).withColumnRenamed("event_group", "_g")

@@ -1,10 +1,9 @@
 """Event explorer: filtered, sorted, paged event records and the row mapping.
 
 Pages and top-k lists are cut first (a bounded ``TakeOrderedAndProject``) and
-checkpointed (at most ``page_size`` rows), so the sorted scan runs once; the
-burst size of each listed row is then counted only for the groups on the
-page (semi-join against at most ``page_size`` keys), instead of a window over
-every filtered row.
+held as one array of at most ``page_size`` rows, a scalar subquery that runs
+once per query; the burst size of each listed row is then counted only for the
+groups in that array, instead of a window over every filtered row.
 """
 
 from __future__ import annotations
@@ -15,14 +14,18 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import normalize as N
 from ..functions import scoring as S
-from ..sources.staging import materialize
 from . import canonical as C
 from .filters import SORT_KEYS, EventQuery
 
 
 def _sized(top: DataFrame, rows: DataFrame) -> DataFrame:
-    """Burst sizes for a cut list: the list is materialised once (bounded size)."""
-    return C.with_group_size(materialize(top), rows)
+    """Burst sizes for a cut list of bounded length (a page or a top-k list)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in top.columns])
+    page = top.agg(F.struct(F.collect_list(row).alias("rows"), F.collect_set("event_group").alias("keys"))).scalar()
+    listed = F.array_contains(page.getField("keys"), F.col("event_group")) | F.col("event_group").isNull()
+    sizes = C.group_sizes(rows.filter(listed)).withColumnRenamed("event_group", "_g")
+    cut = rows.sparkSession.range(1).select(F.inline(page.getField("rows")))
+    return cut.join(sizes, F.col("event_group").eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
 def _pg_order(col: str, direction: str) -> Column:
@@ -64,7 +67,7 @@ def event_records(rows: DataFrame, category: str = "category") -> DataFrame:
         F.coalesce(_text("timezone"), F.lit(K.DEFAULT_TIMEZONE)).alias("timezone"),
         "camera_name", "mac", "event_group", "sequence", "subject_class",
         c(category).alias("subject_category"), "time_of_day_bucket", "daypart",
-        "analysis_title", "analysis_summary",
+        "analysis_title", "analysis_summary", "analysis", "ai_description",
         F.coalesce(c("analysis_summary"), c("analysis_title"), F.lit(K.UNPROCESSED_SUMMARY)).alias("summary"),
         "lux", "temperature", "humidity", "pressure", "heat_level",
         F.coalesce(_text("sensor"), F.lit(K.UNKNOWN_SENSOR)).alias("sensor"),
@@ -146,12 +149,11 @@ def event_group_size(canon: DataFrame) -> DataFrame:
 
 
 def events_csv_frame(canon: DataFrame, query: EventQuery) -> DataFrame:
-    """S8 rows: filtered and sorted, at most 5000, the 14 export columns."""
+    """S8 rows: all filtered rows, sorted, the 14 export columns."""
     rows = canon.filter(query.predicate())
     order = [_pg_order(SORT_KEYS[query.sort_by], query.sort_dir), F.col("id").asc()]
-    top = rows.orderBy(*order).limit(K.CSV_ROW_CAP)
     no_commas = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit(","), F.lit(" "))
-    return top.select(
+    return rows.orderBy(*order).select(
         F.date_format("local_timestamp", K.CSV_SECONDS).alias("timestamp"),
         "camera_name", "mac", F.col("event_group").alias("event"), "sequence", "subject_class",
         F.col("category").alias("subject_category"), "time_of_day_bucket",

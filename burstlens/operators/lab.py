@@ -3,9 +3,9 @@
 All inputs are aggregates of event groups ((date, camera[, category, hour])
 counts).  Window-style logic is expressed with joins and aggregates:
 
-* the analysis windows (W4) label the distinct observed dates; only the
-  labelled dates that matter (at most 14 recent + 28 baseline, a bound fixed
-  by the rule itself) are broadcast;
+* the analysis windows (W4) label the distinct observed dates; the dates that
+  matter (at most 14 recent + 28 baseline, a bound fixed by the rule itself)
+  are read as one scalar of two arrays;
 * the per-camera trailing forecast (W3) needs zero-filled camera x date
   series.  Instead of materialising that cross product, every observed
   (camera, date) count is sent to the next seven date slots (a fixed 8x
@@ -64,10 +64,17 @@ def analysis_windows(rows: DataFrame) -> DataFrame:
     )
 
 
-def window_labels(windows: DataFrame) -> DataFrame:
-    """Recent and baseline dates only: at most 14 + 28 rows, safe to broadcast."""
-    return F.broadcast(windows.filter(F.col("is_recent") | F.col("is_baseline"))
-                       .select("date", "is_recent", "is_baseline"))
+def window_dates(windows: DataFrame) -> Column:
+    """Recent and baseline dates as one scalar (recent, baseline) of arrays, at
+    most 14 + 28 dates by the rule itself."""
+    def dates(label: str) -> Column:
+        return F.collect_list(F.when(F.col(label), F.col("date"))).alias(label)
+
+    return windows.agg(F.struct(dates("is_recent"), dates("is_baseline"))).scalar()
+
+
+def _within(dates: Column, label: str) -> Column:
+    return F.coalesce(F.array_contains(dates.getField(label), F.col("date")), F.lit(False))
 
 
 # ---------------------------------------------------------------- W2
@@ -118,11 +125,10 @@ def camera_forecast_leaders(cam_fc: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- L1
 def category_shift_all(combo: DataFrame, win: DataFrame | None = None) -> DataFrame:
     """L1 before the cut: per (camera, category) recent vs baseline share."""
-    labels = window_labels(analysis_windows(combo) if win is None else win)
-    lab = combo.join(labels, "date")
-    pairs = lab.groupBy("camera_name", "category").agg(
-        F.sum(F.when(F.col("is_recent"), F.col("count")).otherwise(0)).alias("recent_count"),
-        F.sum(F.when(F.col("is_baseline"), F.col("count")).otherwise(0)).alias("baseline_count"),
+    dates = window_dates(analysis_windows(combo) if win is None else win)
+    pairs = combo.groupBy("camera_name", "category").agg(
+        F.sum(F.when(_within(dates, "is_recent"), F.col("count")).otherwise(0)).alias("recent_count"),
+        F.sum(F.when(_within(dates, "is_baseline"), F.col("count")).otherwise(0)).alias("baseline_count"),
     )
     cam = Window.partitionBy("camera_name")
     pairs = pairs.select("*", F.sum("recent_count").over(cam).alias("_rt"),
@@ -154,30 +160,24 @@ def category_shift_matrix(combo: DataFrame, win: DataFrame | None = None) -> Dat
 # ---------------------------------------------------------------- L2-L4
 def _novelty_inputs(combo: DataFrame, win: DataFrame | None = None, shifts: DataFrame | None = None):
     win = analysis_windows(combo) if win is None else win
-    labels = window_labels(win)
-    elig = combo.filter(F.col("category") != F.lit(K.NOVELTY_EXCLUDED))
-    lab = elig.join(labels, "date", "left")
+    dates = window_dates(win)
+    lab = combo.filter(F.col("category") != F.lit(K.NOVELTY_EXCLUDED))
     combos = lab.groupBy("camera_name", "category", "hour").agg(
         F.sum("count").alias("combo_count"),
-        F.sum(F.when(F.col("is_recent"), F.col("count")).otherwise(0)).alias("current_count"),
-        F.sum(F.when(F.col("is_baseline"), F.col("count")).otherwise(0)).alias("baseline_count"),
+        F.sum(F.when(_within(dates, "is_recent"), F.col("count")).otherwise(0)).alias("current_count"),
+        F.sum(F.when(_within(dates, "is_baseline"), F.col("count")).otherwise(0)).alias("baseline_count"),
     )
-    cat_hour = elig.groupBy("category", "hour").agg(F.sum("count").alias("category_hour_count"))
-    shifts = (category_shift_matrix(combo, win) if shifts is None else shifts) \
+    cat_hour = combos.groupBy("category", "hour").agg(F.sum("combo_count").alias("category_hour_count"))
+    shifts = (category_shift_all(combo, win) if shifts is None else shifts) \
         .select("camera_name", "category", F.col("shift_pct").alias("_shift"))
-    # The four scalars (two maxima floored at 1, two window day counts) come
-    # from one one-row aggregate over a union, read as one struct-valued
-    # scalar subquery (executed once however often it is referenced).
-    parts = (combos.select(F.lit(0).alias("k"), F.col("combo_count").alias("v"))
-             .unionByName(cat_hour.select(F.lit(1).alias("k"), F.col("category_hour_count").alias("v")))
-             .unionByName(win.select(F.lit(2).alias("k"), F.col("is_recent").cast("bigint").alias("v")))
-             .unionByName(win.select(F.lit(3).alias("k"), F.col("is_baseline").cast("bigint").alias("v"))))
-    k, v = F.col("k"), F.col("v")
-    stats = parts.agg(F.struct(
-        F.greatest(F.max(F.when(k == 0, v)), F.lit(1)).alias("max_combo"),
-        F.greatest(F.max(F.when(k == 1, v)), F.lit(1)).alias("max_cat_hour"),
-        F.greatest(F.coalesce(F.sum(F.when(k == 2, v)), F.lit(0)), F.lit(1)).alias("recent_day_count"),
-        F.greatest(F.coalesce(F.sum(F.when(k == 3, v)), F.lit(0)), F.lit(1)).alias("baseline_day_count"),
+    # The four scalars (two maxima floored at 1, two window day counts) are read
+    # off the category-hour totals, which carry their largest combination.
+    tops = combos.groupBy("category", "hour").agg(F.sum("combo_count").alias("t"), F.max("combo_count").alias("m"))
+    stats = tops.agg(F.struct(
+        F.greatest(F.max("m"), F.lit(1)).alias("max_combo"),
+        F.greatest(F.max("t"), F.lit(1)).alias("max_cat_hour"),
+        F.greatest(F.size(dates.getField("is_recent")), F.lit(1)).alias("recent_day_count"),
+        F.greatest(F.size(dates.getField("is_baseline")), F.lit(1)).alias("baseline_day_count"),
     ).alias("s")).scalar()
     days = stats
     max_combo, max_cat_hour = stats.getField("max_combo"), stats.getField("max_cat_hour")
@@ -196,10 +196,10 @@ def _score(count_rate: Column, baseline_avg: Column, combo_count: Column, cat_ho
                            + w["deviation"] * deviation_score + w["shift"] * shift_score), 1)
 
 
-def novel_events(combo: DataFrame, win: DataFrame | None = None, shifts: DataFrame | None = None) -> DataFrame:
-    """L2: the 12 most novel (camera, category, hour) patterns of the recent window.
+def novel_patterns(combo: DataFrame, win: DataFrame | None = None, shifts: DataFrame | None = None) -> DataFrame:
+    """L2 before the cut: every (camera, category, hour) pattern of the recent window, scored.
 
-    ``win`` (W4) and ``shifts`` (L1, cut) may be passed in when already computed."""
+    ``win`` (W4) and ``shifts`` (L1, uncut) may be passed in when already computed."""
     _, _, combos, cat_hour, shifts, days, max_combo, max_cat_hour = _novelty_inputs(combo, win, shifts)
     base_days = days.getField("baseline_day_count")
     recent_days = days.getField("recent_day_count")
@@ -218,12 +218,15 @@ def novel_events(combo: DataFrame, win: DataFrame | None = None, shifts: DataFra
     bda_text = F.concat((tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
     narrative = fill(K.NOVEL_NARRATIVE, F.col("camera_name"), F.col("category"), hh(F.col("hour")),
                      F.col("current_count"), bda_text)
-    return (scored.select("camera_name", "category", "hour", "current_count", "baseline_daily_avg",
-                          "combo_count", "category_hour_count", "shift_pct", score.alias("novelty_score"),
-                          narrative.alias("narrative"))
-            .orderBy(F.col("novelty_score").desc(), F.col("current_count").desc(), F.col("camera_name").asc(),
-                     F.col("category").asc(), F.col("hour").asc())
-            .limit(K.NOVEL_TOP))
+    return scored.select("camera_name", "category", "hour", "current_count", "baseline_daily_avg",
+                         "combo_count", "category_hour_count", "shift_pct", score.alias("novelty_score"),
+                         narrative.alias("narrative"))
+
+
+def novel_events(patterns: DataFrame, top: int = K.NOVEL_TOP) -> DataFrame:
+    """L2: the displayed list, the ``top`` most novel of ``novel_patterns``."""
+    return patterns.orderBy(F.col("novelty_score").desc(), F.col("current_count").desc(), F.col("camera_name").asc(),
+                            F.col("category").asc(), F.col("hour").asc()).limit(top)
 
 
 def _driver(cam: Column, cat: Column, hour: Column) -> Column:
@@ -231,11 +234,11 @@ def _driver(cam: Column, cat: Column, hour: Column) -> Column:
 
 
 def novelty_by_date(combo: DataFrame, novel: DataFrame, win: DataFrame | None = None) -> DataFrame:
-    """L3: per recent date, count of rows in top novel patterns scoring >= 70 and the top driver."""
-    labels = window_labels(analysis_windows(combo) if win is None else win).filter(F.col("is_recent"))
-    hot = F.broadcast(novel.filter(F.col("novelty_score") >= K.NOVELTY_THRESHOLD)
-                      .select("camera_name", "category", "hour", "novelty_score"))
-    rows = (combo.filter(F.col("category") != F.lit(K.NOVELTY_EXCLUDED)).join(labels, "date")
+    """L3: per recent date, count of rows in all patterns of ``novel`` scoring >= 70 and the top driver."""
+    dates = window_dates(analysis_windows(combo) if win is None else win)
+    hot = (novel.filter(F.col("novelty_score") >= K.NOVELTY_THRESHOLD)
+           .select("camera_name", "category", "hour", "novelty_score"))
+    rows = (combo.filter((F.col("category") != F.lit(K.NOVELTY_EXCLUDED)) & _within(dates, "is_recent"))
             .join(hot, ["camera_name", "category", "hour"]))
     order = F.struct(-F.col("novelty_score"), F.col("camera_name"), F.col("category"), F.col("hour"))
     return rows.groupBy("date").agg(

@@ -153,12 +153,16 @@ def processing_funnel(groups: DataFrame) -> DataFrame:
     ).orderBy("stage_order")
 
 
-def stale_cameras(health: DataFrame) -> DataFrame:
-    """K5: cameras older than 48 h or not healthy, first 6 in health order."""
-    flagged = health.filter((F.coalesce(F.col("last_seen_hours_ago"), F.lit(0.0)) > K.STALE_HOURS)
-                            | (F.col("status") != F.lit("healthy")))
-    return (flagged.orderBy(F.col("total_events").desc(), F.col("camera_name").asc())
-            .limit(K.STALE_CAMERAS)
+def stale_all(health: DataFrame) -> DataFrame:
+    """K5 before the cut: every camera older than 48 h or not healthy."""
+    return health.filter((F.coalesce(F.col("last_seen_hours_ago"), F.lit(0.0)) > K.STALE_HOURS)
+                         | (F.col("status") != F.lit("healthy")))
+
+
+def stale_cameras(health: DataFrame, top: int = K.STALE_CAMERAS) -> DataFrame:
+    """K5: the displayed list, the first ``top`` stale cameras in health order."""
+    return (stale_all(health).orderBy(F.col("total_events").desc(), F.col("camera_name").asc())
+            .limit(top)
             .select("camera_name", "last_seen", "last_seen_hours_ago", "status", "anomaly_score"))
 
 

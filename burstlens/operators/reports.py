@@ -231,13 +231,13 @@ def burst_behavior(groups: DataFrame, p: float = 0.95) -> DataFrame:
 
 def camera_daily(groups: DataFrame) -> DataFrame:
     return (groups.groupBy(F.to_date("first_seen").alias("date"), "camera_name")
-            .agg(F.count(F.lit(1)).alias("count")).orderBy("date", "camera_name"))
+            .agg(F.count(F.lit(1)).alias("count")))
 
 
 def combo_daily(groups: DataFrame) -> DataFrame:
     return (groups.groupBy(F.to_date("first_seen").alias("date"), "camera_name",
                            F.col("subject_category").alias("category"), F.hour("first_seen").alias("hour"))
-            .agg(F.count(F.lit(1)).alias("count")).orderBy("date", "camera_name", "category", "hour"))
+            .agg(F.count(F.lit(1)).alias("count")))
 
 
 def diversity_by_camera(groups: DataFrame) -> DataFrame:
@@ -284,14 +284,13 @@ def filter_option_values(canon: DataFrame, devices: DataFrame) -> DataFrame:
 
 
 def filter_option_ranges(canon: DataFrame) -> DataFrame:
-    return canon.agg(
-        F.min("raw_lux").cast("int").alias("min_lux"),
-        F.max("raw_lux").cast("int").alias("max_lux"),
-        F.floor(F.min("raw_temperature")).cast("int").alias("min_temperature"),
-        F.ceil(F.max("raw_temperature")).cast("int").alias("max_temperature"),
-        F.min("heat_level").cast("int").alias("min_heat_level"),
-        F.max("heat_level").cast("int").alias("max_heat_level"),
-    )
+    """A33 slider bounds; a column without values has the bounds 0 and 0."""
+    bounds = {
+        "min_lux": F.min("raw_lux"), "max_lux": F.max("raw_lux"),
+        "min_temperature": F.floor(F.min("raw_temperature")), "max_temperature": F.ceil(F.max("raw_temperature")),
+        "min_heat_level": F.min("heat_level"), "max_heat_level": F.max("heat_level"),
+    }
+    return canon.agg(*[F.coalesce(c.cast("int"), F.lit(0)).alias(name) for name, c in bounds.items()])
 
 
 # ------------------------------------------------- A34/A35 day drill-down

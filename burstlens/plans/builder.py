@@ -168,7 +168,9 @@ def _predicate(c: Column, f: Filter, typ: str) -> Column:
     if op == "IN":
         values = [v.strip() for v in str(f.value or "").split(",") if v.strip()] if isinstance(f.value, str) \
             else list(f.value or [])
-        return c.isin(values) if values else c.isin([""])
+        if not values:
+            raise ValueError(f"IN without values on column {f.column!r}")
+        return c.isin(values)
     if op == "BETWEEN":
         return c.between(f.value, f.second_value)
     if op == "LIKE":
@@ -214,8 +216,7 @@ def build(rels: dict[str, DataFrame], spec: BuilderSpec) -> DataFrame:
             if func not in m["aggregates"]:
                 raise ValueError(f"aggregate {func} not allowed on {m['type']} column {a.column!r}")
             expr = {"AVG": F.avg, "MIN": F.min, "MAX": F.max, "SUM": F.sum}[func](F.col(f"`{a.column}`"))
-        alias = (a.alias or "").strip() or f"{func.lower()}_{a.column}"
-        aggs.append(expr.alias(alias))
+        aggs.append(expr.alias(_alias_of(a)))
     if aggs:
         keys = list(spec.group_by) or selected
         for c in keys:
@@ -231,16 +232,25 @@ def build(rels: dict[str, DataFrame], spec: BuilderSpec) -> DataFrame:
         df = df.select(*[F.col(f"`{c}`") for c in selected])
     if spec.sort:
         order = []
+        grouped = bool(aggs or spec.group_by)
         for s in spec.sort:
+            if s.column not in df.columns and (grouped or s.column not in cols):
+                raise ValueError(f"unknown column {s.column!r} in sort")
+            if s.column in cols and not cols[s.column]["sortable"]:
+                raise ValueError(f"column {s.column!r} is not sortable")
             c = F.col(f"`{s.column}`")
             order.append(c.desc_nulls_first() if s.direction.lower() == "desc" else c.asc_nulls_last())
         df = df.orderBy(*order)
-    limit = spec.limit or meta["default_limit"]
-    return df.limit(min(limit, meta["max_limit"]))
+    if spec.limit is None:
+        return df
+    if not 0 < spec.limit <= meta["max_limit"]:
+        raise ValueError(f"limit {spec.limit} is not between 1 and {meta['max_limit']}")
+    return df.limit(spec.limit)
 
 
 def _alias_of(a: Aggregate) -> str:
-    return (a.alias or "").strip() or f"{a.func.lower()}_{a.column}"
+    func = a.func.lower()
+    return (a.alias or "").strip() or (f"{func}_{a.column}" if a.column else func)
 
 
 # --------------------------------------------------------------- G3 / G4

@@ -33,7 +33,7 @@ def overview(canon: DataFrame, as_of=None) -> dict[str, DataFrame]:
         "burst_distribution": R.burst_distribution(groups), "notable_events": X.notable_events(canon),
         "voltage_trend": R.voltage_trend(canon), "light_split": R.light_split(groups),
         "temperature_trend": R.temperature_trend(canon),
-        "insights": L.overview_insights(health, kpis, top, stale),
+        "insights": L.overview_insights(health, kpis, top, ops.stale_all(health)),
     }
     out["_persisted"] = [groups, health]  # type: ignore[assignment]
     return out
@@ -45,8 +45,8 @@ def analytics_lab(canon: DataFrame, as_of=None) -> dict[str, DataFrame]:
     cam_daily = R.camera_daily(groups)
     fc = L.camera_forecast(cam_daily)
     leaders = L.camera_forecast_leaders(fc)
-    novel = L.novel_events(combo)
-    shifts = L.category_shift_matrix(combo)
+    shifts = L.category_shift_all(combo)
+    novel = L.novel_patterns(combo, shifts=shifts)
     anomalies = ops.camera_anomalies(canon, as_of)
     diversity = R.diversity_by_camera(groups)
     out = {
@@ -57,8 +57,8 @@ def analytics_lab(canon: DataFrame, as_of=None) -> dict[str, DataFrame]:
         "environmental_context": R.environmental_context(canon), "camera_anomalies": anomalies,
         "anomaly_timeline": L.anomaly_timeline(canon, L.novelty_by_date(combo, novel)),
         "forecast": L.forecast(R.category_trend(groups)), "camera_forecast": fc.drop("i"),
-        "camera_forecast_leaders": leaders, "novel_events": novel,
-        "novelty_timeline": L.novelty_timeline(combo), "category_shift_matrix": shifts,
+        "camera_forecast_leaders": leaders, "novel_events": L.novel_events(novel),
+        "novelty_timeline": L.novelty_timeline(combo, shifts=shifts), "category_shift_matrix": L.category_shift_matrix(combo),
         "advanced_insights": L.advanced_insights(leaders, novel, shifts),
         "camera_clusters": L.camera_clusters(diversity, anomalies),
         "data_quality": ops.data_quality(canon),

@@ -194,23 +194,23 @@ from ..operators import lab as L  # noqa: E402
 
 
 def combo(spark, d):
-    """Combo table checkpointed once: the lab reports read it from several jobs."""
-    return staging.materialize(R.combo_daily(groups(spark, d)))
+    """Combo table: one plan fragment, so its exchanges are reused within a report."""
+    return R.combo_daily(groups(spark, d))
 
 
 def lab_inputs(spark, d, novel: bool = False):
-    """The materialised combo table plus its analysis windows, cut shift matrix
-    (and top novel patterns) as shared plan fragments: one definition each,
-    so identical sub-plans are reused instead of being re-derived."""
+    """The combo table plus its analysis windows, uncut shifts (and scored
+    patterns) as shared plan fragments: one definition each, so identical
+    sub-plans are reused instead of being re-derived."""
     cb = combo(spark, d)
     win = L.analysis_windows(cb)
-    sh = L.category_shift_matrix(cb, win)
-    nv = L.novel_events(cb, win, sh) if novel else None
+    sh = L.category_shift_all(cb, win)
+    nv = L.novel_patterns(cb, win, sh) if novel else None
     return cb, win, sh, nv
 
 
 def cam_daily(spark, d):
-    return staging.materialize(R.camera_daily(groups(spark, d)))
+    return R.camera_daily(groups(spark, d))
 
 
 @register("analysis_windows")
@@ -240,8 +240,7 @@ def q_shift(spark, d):
 
 @register("novel_events")
 def q_novel(spark, d):
-    cb, win, sh, _ = lab_inputs(spark, d)
-    return finish(L.novel_events(cb, win, sh))
+    return finish(L.novel_events(lab_inputs(spark, d, novel=True)[3]))
 
 
 @register("novelty_by_date")
@@ -273,7 +272,7 @@ def q_overview_insights(spark, d):
     g = C.event_groups(cn)
     health = ops.camera_health(cn, AS_OF_LATE)
     return finish(L.overview_insights(health, ops.overview_kpis(g, health), R.top_cameras(g),
-                                      ops.stale_cameras(health)))
+                                      ops.stale_all(health)))
 
 
 @register("advanced_insights")
@@ -295,7 +294,7 @@ def q_heatmap(spark, d):
 
 @register("forecast_residual_matrix")
 def q_residual_matrix(spark, d):
-    fc = staging.materialize(L.camera_forecast(cam_daily(spark, d)))
+    fc = L.camera_forecast(cam_daily(spark, d))
     return finish(L.forecast_residual_matrix(fc.drop("i"), L.camera_forecast_leaders(fc)))
 
 

@@ -17,8 +17,11 @@ from ..functions import constants as K
 
 def round6(c):
     """Six places, half away from zero, after snapping float noise at ten
-    places: the result does not depend on the order doubles were summed."""
-    return F.round(F.round(c.cast("double"), 10).try_cast("decimal(38,10)"), 6).cast("double")
+    places: the result does not depend on the order doubles were summed.
+    Values too large for the decimal have no such digits and stay as they are."""
+    d = c.cast("double")
+    six = F.round(F.round(d, 10).try_cast("decimal(38,10)"), 6).cast("double")
+    return F.when((F.abs(d) >= 1e27) & ~F.isnan(d), d).otherwise(six)
 
 
 def finish(df: DataFrame, as_double: tuple[str, ...] = (), as_text: tuple[str, ...] = ()) -> DataFrame:

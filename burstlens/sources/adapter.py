@@ -95,20 +95,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an under-split scan across the cluster's task slots.
-
-    A fact table at scale arrives as many files and row groups, so its scan
-    already has far more splits than task slots and this is a no-op.  Only a
-    tiny input stored as a single row group (one split) is redistributed, so
-    the CPU-heavy canonical projection does not run in a single task.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
-
-
 def camera_events_from(spark: SparkSession, driver_events: DataFrame) -> DataFrame:
     """Raw camera events (43 columns) from a driver-shaped events DataFrame."""
     return spark.sql(_spark_text(EVENTS_SQL), src_df=driver_events)
@@ -125,8 +111,10 @@ def _spark_text(template: str) -> str:
 
 
 def camera_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return camera_events_from(spark, spread(read_table(spark, sf_dir, "events")))
+    return camera_events_from(spark, read_table(spark, sf_dir, "events"))
 
 
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return devices_from(spark, read_table(spark, sf_dir, "nation"))
+    # the stated schema saves the job that would read it from a footer
+    nation = spark.read.schema("n_nationkey bigint, n_name string, n_regionkey bigint").parquet(f"{sf_dir.rstrip('/')}/nation.parquet")
+    return devices_from(spark, nation)

@@ -1,4 +1,6 @@
-"""Sinks: daily summary table (S7), event CSV export (S8), query CSV."""
+"""Sinks: daily summary table (S7), event CSV export (S8), query CSV.
+
+CSV results are part files in row order, each with its own header line."""
 
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ def write_events_csv(rows: DataFrame, path: str) -> None:
     Spark also quotes the header line (the specification leaves it bare).
     """
     text = rows.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in rows.columns])
-    (text.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True)
+    (text.write.mode("overwrite").option("header", True).option("quoteAll", True)
      .option("escape", '"').option("emptyValue", '""').csv(path))
 
 
@@ -31,5 +33,5 @@ def write_query_csv(result: DataFrame, path: str) -> None:
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             c = F.to_json(c)
         cols.append(c.alias(f.name))
-    (result.select(*cols).coalesce(1).write.mode("overwrite").option("header", True)
+    (result.select(*cols).write.mode("overwrite").option("header", True)
      .option("escape", '"').csv(path))

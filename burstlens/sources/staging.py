@@ -144,15 +144,3 @@ def canonical_table(spark: SparkSession, sf_dir: str, refresh: bool = False) ->
         df = spark.read.parquet(path)
         _MEMO[memo_key] = (spark, df)
         return df
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a small intermediate that several jobs of one report
-    reuse: write it as a parquet table in the shared checkpoint folder and
-    read it back (one job; survives executor loss, unlike a cache; the
-    read-back carries file statistics for the planner)."""
-    import uuid
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/burstlens/tmp/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)

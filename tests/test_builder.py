@@ -27,9 +27,9 @@ def test_builder_defaults_and_group_by_selected(spark, rels):
     spec = B.BuilderSpec(relation="dim_devices")
     assert B.build(rels, spec).columns == ["camera_name", "mac", "location_name", "camera_profile"]
     agg = B.BuilderSpec(relation="daily_camera_summary", columns=("camera_name",),
-                        aggregates=(B.Aggregate("SUM", "total_rows"), B.Aggregate("COUNT", "mac")), limit=5000)
+                        aggregates=(B.Aggregate("SUM", "total_rows"), B.Aggregate("COUNT", "mac"), B.Aggregate("COUNT")))
     out = B.build(rels, agg)
-    assert out.columns == ["camera_name", "sum_total_rows", "count_mac"]
+    assert out.columns == ["camera_name", "sum_total_rows", "count_mac", "count"]
     total = sum(r["sum_total_rows"] for r in out.collect())
     assert total == rels["events"].count()
 
@@ -48,15 +48,20 @@ def test_builder_matches_example_sql(spark, rels):
     B.BuilderSpec(relation="events", columns=("no_such",)),
     B.BuilderSpec(relation="events", filters=(B.Filter("uploaded", ">", True),)),
     B.BuilderSpec(relation="events", aggregates=(B.Aggregate("AVG", "camera_name"),)),
+    B.BuilderSpec(relation="events", filters=(B.Filter("lux", "IN", ""),)),
+    B.BuilderSpec(relation="events", sort=(B.Sort("no_such"),)),
+    B.BuilderSpec(relation="events", columns=("camera_name",), aggregates=(B.Aggregate("COUNT"),), sort=(B.Sort("id"),)),
+    B.BuilderSpec(relation="events", columns=("id",), limit=5000),
+    B.BuilderSpec(relation="events", columns=("id",), limit=0),
 ])
 def test_builder_rejects_bad_specs(rels, spec):
     with pytest.raises(ValueError):
         B.build(rels, spec)
 
 
-def test_limit_is_capped(rels):
-    spec = B.BuilderSpec(relation="events", columns=("id",), limit=5000)
-    assert B.build(rels, spec).count() == B.MAX_LIMIT
+def test_no_limit_returns_every_row(rels):
+    assert B.build(rels, B.BuilderSpec(relation="events", columns=("id",))).count() == rels["events"].count() > B.MAX_LIMIT
+    assert B.build(rels, B.BuilderSpec(relation="events", columns=("id",), limit=7)).count() == 7
 
 
 def test_named_views_for_free_sql(spark):

@@ -18,6 +18,19 @@ def test_no_cartesian_product_or_python_udf(spark, key):
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
 
 
+def test_building_a_query_runs_no_job(spark):
+    from burstlens.plans.registry import QUERIES, canon
+    canon(spark, SMALL)  # the staged tables are the only thing written
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build-only", "")
+    try:
+        for key in QUERIES:
+            QUERIES[key](spark, SMALL)
+        assert list(tracker.getJobIdsForGroup("build-only")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_canonical_scan_is_pruned(spark):
     df = queries()["composition"](spark, SMALL)
     text = df._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
