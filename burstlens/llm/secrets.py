@@ -35,13 +35,14 @@ CLASSES = (
     ("b64ent", r"^(?=.*[0-9])(?=.*[A-Za-z]).+$",
      "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.8),
 )
+# no repeated groups here: each repetition would take a stack frame, and candidates have any length
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
-    r"^[A-Za-z]+([_/=-]+[A-Za-z]+)*$",  # plain words joined by separators
+    r"^[A-Za-z][A-Za-z_/=-]*[A-Za-z]$",  # plain words joined by separators
     r"^[0-9_/=+-]+$",  # numbers, dates, telephone numbers
     r"(?i)example|placeholder|changeme|xxxxxx|abcdefgh|01234567",  # samples and alphabets
     r"^(sha1|sha256|sha512|md5)[-=:_]",  # a digest that says so
-    r"^/?([a-z0-9_-]{1,12}/){2,}[a-z0-9_-]*$",  # a path
+    r"^(?!.*//)(?!.*[a-z0-9_-]{13}/)/?[a-z0-9_-]+/[a-z0-9_-]+/[a-z0-9_/-]*$",  # a path of short names
 )
 KINDS = tuple(b[0] for b in BASE) + tuple(c[0] for c in CLASSES)
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,hit:string>>"
@@ -77,9 +78,9 @@ def window_entropy(s: Column, alphabet: str) -> Column:
     def f(c):
         return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
-    def step(acc, i):
-        into = F.instr(F.lit(alphabet), F.substring(s, i, F.lit(1)))
-        out = F.when(i > WINDOW, F.instr(F.lit(alphabet), F.substring(s, i - WINDOW, F.lit(1)))).otherwise(F.lit(0))
+    def step(chars, acc, i):
+        into = F.instr(F.lit(alphabet), F.get(chars, i - 1))
+        out = F.when(i > WINDOW, F.instr(F.lit(alphabet), F.get(chars, i - WINDOW - 1))).otherwise(F.lit(0))
         c_in, c_out = F.get(acc["counts"], into - 1), F.get(acc["counts"], out - 1)
         change = F.when(into == out, F.lit(0.0)).otherwise(
             f(c_in + 1) - f(c_in) + F.when(out > 0, f(c_out - 1) - f(c_out)).otherwise(F.lit(0.0)))
@@ -89,7 +90,10 @@ def window_entropy(s: Column, alphabet: str) -> Column:
         return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
 
     start = F.struct(F.array_repeat(F.lit(0), n).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda acc: acc["best"])
+    # the characters are cut once, as a one-element array that binds them for all steps
+    best = F.transform(F.array(F.split(s, "")), lambda chars: F.aggregate(
+        F.sequence(F.lit(1), F.length(s)), start, lambda acc, i: step(chars, acc, i), lambda acc: acc["best"]))
+    return F.get(best, F.lit(0))
 
 
 def _allowed(s: Column) -> Column:
