@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, id_text, utf8
+from .common import blocks, id_text, stage, utf8
 from .pretoken import Vocabulary, gather
 
-LEXICON_WORDS = 65536  # most frequent words that are compiled
+LEXICON_WORDS = 65536  # most frequent words that are compiled, at most
+COUNT_BITS = 10  # leading bits of a word's count that decide
 LONGEST = 48  # bytes of a word in the lexicon
 BLOCK_BYTES = 8 << 20
 CACHE_WORDS = 300_000  # words a task adds up before it passes them on
@@ -361,10 +362,26 @@ def word_counts(docs: DataFrame, special: list[str], id_col: str = "doc_id", tex
     return id_text(docs, id_col, text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def least_count(counts: DataFrame, size: int) -> int:
+    """Smallest count that at most ``size`` words reach, counts taken to
+    ``COUNT_BITS`` leading bits: only that histogram reaches the driver (at most
+    2**COUNT_BITS rows for each power of two)."""
+    unit = F.expr(f"shiftleft(1L, cast(greatest(0, floor(log2(n)) - {COUNT_BITS}) as int))")
+    rows = counts.groupBy((F.col("n") - F.col("n") % unit).alias("least")).agg(F.count("*").alias("words")).collect()
+    found, total = 1 << 62, 0
+    for least, words in sorted(((r["least"], r["words"]) for r in rows), reverse=True):
+        total += words
+        if total > size:
+            break
+        found = least
+    return found
+
+
 def compile_lexicon(docs: DataFrame, merger: Merger, size: int = LEXICON_WORDS, **cols) -> Lexicon:
-    """Lexicon of the ``size`` most frequent words (a bounded result, ties by word)."""
-    top = word_counts(docs, list(merger.special), **cols).orderBy(F.desc("n"), "word").limit(size).collect()
-    words = [bytes(r["word"]) for r in top]
+    """Lexicon of the most frequent words, at most ``size``: all that reach the
+    smallest count that no more words reach.  Only they are sent to the driver."""
+    counts = stage(word_counts(docs, list(merger.special), **cols), "words")
+    words = [bytes(r["word"]) for r in counts.filter(F.col("n") >= least_count(counts, size)).select("word").collect()]
     return Lexicon.build(dict(zip(words, merger.ids(words))))
 
 

@@ -228,6 +228,17 @@ def test_bpe_equals_the_library(spark, docs, none):
     assert bpe.round_trip(none, path).count() == 0
 
 
+def test_lexicon_takes_the_most_frequent_words(spark):
+    counts = [("a", 5_000_000), ("b", 4_999_999), ("c", 70), ("d", 70), ("e", 3), ("f", 1), ("g", 1)]
+    frame = spark.createDataFrame(counts, "word string, n long")
+    for size in range(8):
+        least = bpe.least_count(frame, size)
+        kept = [w for w, n in counts if n >= least]
+        assert len(kept) <= size and kept == [w for w, _ in counts[:len(kept)]]
+    assert (bpe.least_count(frame, 4), bpe.least_count(frame, 5), bpe.least_count(frame, 7)) == (70, 3, 1)
+    assert bpe.least_count(frame.limit(0), 5) > 1 << 60
+
+
 def test_lexicon_finds_exactly_its_words():
     rnd = random.Random(3)
     words = {bytes(rnd.choice(b"abc") for _ in range(rnd.randint(1, 6))) for _ in range(150)}
