@@ -14,18 +14,23 @@ workspace relations) read it instead of re-deriving rows per query.
 The tables live under the cluster's shared ``spark.checkpoint.dir``; their
 location is keyed by the source path, the version of its files (names, lengths,
 modification times) and a digest of the rule code with its constants, so a
-changed source or rule is never served from an older table.  Completion is marked by the
-committer's ``_SUCCESS`` file; an unfinished write is simply redone.
+changed source or rule is never served from an older table.  Every write goes to
+a folder of its own below that location and counts once the committer's
+``_SUCCESS`` file is there; the newest complete one is read.  So builders in two
+processes never overwrite each other, a refresh leaves readers of the older
+version alone, and an unfinished write is simply redone.  Older versions are
+left for the owner of the folder to remove.
 """
 
 from __future__ import annotations
 
 import hashlib
 import inspect
+import math
 import sys
 import threading
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import constants, normalize
@@ -36,6 +41,8 @@ _MEMO: dict[tuple, tuple[SparkSession, DataFrame]] = {}
 # One builder at a time per process: concurrent first calls must not write
 # the same table twice.
 _LOCK = threading.RLock()
+# Source bytes behind one task of the bronze sort; the rows are wider than the source's.
+TASK_BYTES = 64 << 20
 
 
 def _memo_get(spark: SparkSession, key: tuple) -> DataFrame | None:
@@ -60,16 +67,24 @@ def _digest(*modules) -> str:
     return hashlib.sha1(text.encode()).hexdigest()[:12]
 
 
-def source_version(spark: SparkSession, path: str) -> str:
-    """Names, lengths and modification times of the files under ``path`` as any
-    Hadoop file system lists them (no job runs)."""
+def _statuses(spark: SparkSession, path: str, pattern: bool = False) -> list[tuple[str, int, int]]:
+    """(path, length, modification time) of the files under ``path``, or of those
+    that match it, as any Hadoop file system lists them (no job runs)."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    listed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)  # noqa: SLF001
-    files = []
-    while listed.hasNext():
-        f = listed.next()
-        files.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
-    return hashlib.sha1("\n".join(sorted(files)).encode()).hexdigest()[:16]
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    found = []
+    if pattern:
+        found = list(fs.globStatus(where) or [])
+    else:
+        listed = fs.listFiles(where, True)
+        while listed.hasNext():
+            found.append(listed.next())
+    return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
+
+
+def source_version(spark: SparkSession, path: str) -> str:
+    """Digest of the names, lengths and modification times of the files under ``path``."""
+    return hashlib.sha1("\n".join(f"{p} {n} {t}" for p, n, t in _statuses(spark, path)).encode()).hexdigest()[:16]
 
 
 def table_path(spark: SparkSession, sf_dir: str, kind: str = "canonical") -> str:
@@ -80,19 +95,24 @@ def table_path(spark: SparkSession, sf_dir: str, kind: str = "canonical") -> str
     return f"{shared_dir(spark)}/burstlens/{kind}/{key}"
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.text(f"{path}/_SUCCESS")
-        return True
-    except AnalysisException:
-        return False
+def latest(spark: SparkSession, path: str) -> str | None:
+    """The newest complete version of a staged table."""
+    done = [(t, p) for p, _, t in _statuses(spark, f"{path}/*/_SUCCESS", pattern=True)]
+    return max(done)[1].rsplit("/", 1)[0] if done else None
+
+
+def _version(path: str) -> str:
+    return f"{path}/{uuid.uuid4().hex}"
 
 
-def _parts(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def _parts(spark: SparkSession, source: str) -> int:
+    """Tasks of the bronze sort: by the source's bytes, at least one a slot."""
+    size = sum(n for _, n, _ in _statuses(spark, source))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism,
+               math.ceil(size / TASK_BYTES))
 
 
-def write_canonical(spark: SparkSession, raw: DataFrame, path: str) -> None:
+def write_canonical(raw: DataFrame, path: str) -> None:
     """Silver write without a shuffle: the bronze table is already clustered
     by capture time, so each task sorts its own split by (date, camera, id)
     and writes one folder per ``event_date``.  No sampling pass (a range
@@ -100,13 +120,13 @@ def write_canonical(spark: SparkSession, raw: DataFrame, path: str) -> None:
     shuffle for a hot key to skew; date filters prune whole folders."""
     canon = C.canonical(raw)
     (canon.sortWithinPartitions("event_date", "camera_name", "id")
-     .write.mode("overwrite").partitionBy("event_date").parquet(path))
+     .write.partitionBy("event_date").parquet(path))
 
 
-def write_raw(spark: SparkSession, raw: DataFrame, path: str) -> None:
+def write_raw(raw: DataFrame, path: str, parts: int) -> None:
     """Bronze events table: the loaded raw rows, clustered by capture time."""
-    (raw.repartitionByRange(_parts(spark), "utc_timestamp", "id").sortWithinPartitions("utc_timestamp", "id")
-     .write.mode("overwrite").parquet(path))
+    (raw.repartitionByRange(parts, "utc_timestamp", "id").sortWithinPartitions("utc_timestamp", "id")
+     .write.parquet(path))
 
 
 def raw_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
@@ -120,9 +140,9 @@ def raw_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFr
         cached = None if refresh else _memo_get(spark, memo_key)
         if cached is not None:
             return cached
-        if refresh or not _complete(spark, path):
-            write_raw(spark, adapter.camera_events(spark, sf_dir), path)
-        df = spark.read.parquet(path)
+        if refresh or not latest(spark, path):
+            write_raw(adapter.camera_events(spark, sf_dir), _version(path), _parts(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
+        df = spark.read.parquet(latest(spark, path))
         _MEMO[memo_key] = (spark, df)
         return df
 
@@ -139,8 +159,8 @@ def canonical_table(spark: SparkSession, sf_dir: str, refresh: bool = False) ->
         cached = None if refresh else _memo_get(spark, memo_key)
         if cached is not None:
             return cached
-        if refresh or not _complete(spark, path):
-            write_canonical(spark, raw_table(spark, sf_dir, refresh), path)
-        df = spark.read.parquet(path)
+        if refresh or not latest(spark, path):
+            write_canonical(raw_table(spark, sf_dir, refresh), _version(path))
+        df = spark.read.parquet(latest(spark, path))
         _MEMO[memo_key] = (spark, df)
         return df

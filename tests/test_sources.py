@@ -95,7 +95,22 @@ def test_staged_tables_are_reused_and_complete(spark):
     a = staging.raw_table(spark, SMALL)
     b = staging.raw_table(spark, SMALL)
     assert a is b
-    assert os.path.exists(staging.table_path(spark, SMALL, "raw").replace("file:", "") + "/_SUCCESS")
+    assert os.path.exists(staging.latest(spark, staging.table_path(spark, SMALL, "raw")).replace("file:", "") + "/_SUCCESS")
+
+
+def test_refresh_and_second_builder_leave_readers_alone(spark, monkeypatch):
+    old = staging.raw_table(spark, SMALL)
+    n, files = old.count(), set(old.inputFiles())
+    new = staging.raw_table(spark, SMALL, refresh=True)
+    assert new is not old and not files & set(new.inputFiles())
+    path = staging.table_path(spark, SMALL, "raw")
+    staging.write_raw(new.limit(3), staging._version(path), 2)  # another process's version
+    assert old.count() == new.count() == n
+    monkeypatch.setattr(staging, "TASK_BYTES", 1 << 10)
+    assert staging._parts(spark, f"{SMALL}/events.parquet") > 8
+    staging._MEMO.clear()
+    assert staging.raw_table(spark, SMALL).count() == 3  # the newest complete one is read
+    staging.raw_table(spark, SMALL, refresh=True)
 
 
 def test_merge_insert_ignore_null_and_tied_order(spark):
