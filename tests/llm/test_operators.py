@@ -78,6 +78,27 @@ def test_substrings(docs, none):
     assert substrings.deduplicate(none).count() == 0
 
 
+def test_substrings_repeated_run_that_stands_for_others(spark):
+    """One document holds a passage twice, whole and cut, the earlier one is in
+    another partition: the cut one's windows must be looked up too."""
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    rows = []
+    for i in range(24):
+        passage = word(120)
+        rows += [(2 * i, word(70) + passage + word(70)),
+                 (2 * i + 1, word(70) + passage + word(70) + passage[:rnd.randint(60, 110)] + word(70) + passage[rnd.randint(10, 60):])]
+    rows += [(100 + i, t) for i, t in rows]  # exact copies
+    seen, want = set(), {}
+    for i, t in sorted(rows):
+        gone = {j for p in range(len(t) - 49) if t[p:p + 50] in seen for j in range(p, p + 50)}
+        seen |= {t[p:p + 50] for p in range(len(t) - 49)}
+        want[i] = len(gone)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(
+        4, F.col("doc_id") % 2 * 2 + F.floor(F.col("doc_id") / 100))  # a partition for each part, and so a unit
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.deduplicate(docs).collect()} == want
+
+
 def test_simhash(docs, none):
     def slow(text):
         words = [w for w in regex.split(r"[\x20\x09-\x0D]+", regex.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
