@@ -3,8 +3,8 @@
 Documents become token pieces of at most ``capacity`` tokens.  Only the
 histogram of piece lengths (at most ``capacity`` numbers) reaches the driver:
 few-piece patterns that nearly fill a sequence are enumerated, their repeat
-counts are fitted to the histogram by non-negative least squares, rounded
-down, and what is left is packed best-fit decreasing, whole runs of equal
+counts are fitted to the histogram by non-negative least squares and rounded
+down, what is left is fitted again, and the rest is packed best-fit decreasing, whole runs of equal
 lengths at a time.  The plan is a short table "the pieces of length L with
 ranks from s to s+n go to sequences from q on, at offset o"; every piece finds
 its place from its rank among the pieces of its length.
@@ -28,6 +28,8 @@ from .pretoken import Vocabulary
 CAPACITY = 2048
 SALTS = 64
 WASTE = 0.01  # share of a sequence that a fitted pattern may leave empty
+TRIED = 1 << 13  # (first, second) lengths whose patterns are enumerated
+FITS = 4
 ROUNDS = 400
 CACHE_WORDS = 500_000
 
@@ -124,42 +126,48 @@ def pieces(docs: DataFrame, model_path: str, capacity: int = CAPACITY, id_col: s
 # ---- plan ----------------------------------------------------------------------------------------
 
 
-def patterns(lengths: list[int], capacity: int) -> list[tuple[int, ...]]:
-    """Few-piece patterns that leave at most ``WASTE`` of a sequence empty."""
+def patterns(lengths: list[int], capacity: int, shift: int = 0) -> list[tuple[int, ...]]:
+    """Few-piece patterns that leave at most ``WASTE`` of a sequence empty, and
+    of every length its fullest one.  Second and third lengths are strided from
+    ``shift`` on where all of them would be more than ``TRIED``."""
     least = capacity - int(WASTE * capacity)
-    found = {(a,) for a in lengths if a >= least}
+    found: set[tuple[int, ...]] = set()
 
     def largest(limit: int) -> int | None:
         i = bisect_left(lengths, limit + 1)
         return lengths[i - 1] if i else None
 
+    def some(limit: int, n: int) -> list[int]:
+        below = lengths[:bisect_left(lengths, limit)]
+        every = max(1, len(below) // n)
+        return below[shift % every::every]
+
+    tried = max(8, TRIED // len(lengths))
     for a in lengths:
+        mine = [(a,)]
         room = capacity - a
-        for less in range(4):  # pairs: the complement and the next smaller lengths
-            b = largest(room - less)
-            if b is not None and a + b >= least:
-                found.add(tuple(sorted((a, b), reverse=True)))
-        below = lengths[:bisect_left(lengths, room)]
-        for b in below[::max(1, len(below) // 8)]:  # triples
-            c = largest(room - b)
-            if c is not None and a + b + c >= least:
-                found.add(tuple(sorted((a, b, c), reverse=True)))
-            rest = room - b - (c or 0)
-            if c is not None and rest > 0 and (d := largest(rest)) is not None and a + b + c + d >= least:
-                found.add(tuple(sorted((a, b, c, d), reverse=True)))
+        mine += [(a, b) for less in range(4) if (b := largest(room - less)) is not None]  # the complement and the next smaller
+        for b in some(room, tried):
+            for c in {largest(room - b), *some(room - b, max(1, tried // 64))}:
+                if c is not None:
+                    mine.append((a, b, c))
+                    if (d := largest(room - b - c)) is not None:
+                        mine.append((a, b, c, d))
+        fullest = max(mine, key=sum)
+        found |= {tuple(sorted(p, reverse=True)) for p in mine if p is fullest or sum(p) >= least}
     return sorted(found, key=lambda p: (capacity - sum(p), len(p), p))
 
 
-def fit(items: np.ndarray, owner: np.ndarray, n: int, target: np.ndarray) -> np.ndarray:
-    """x >= 0 that minimises |A x - target|^2 by accelerated projected gradient;
-    A adds 1 at items[k] for pattern owner[k]."""
+def fit(items: np.ndarray, owner: np.ndarray, n: int, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """x >= 0 that minimises |weight (A x - target)|^2 by accelerated projected
+    gradient; A adds 1 at items[k] for pattern owner[k]."""
     m = len(target)
     per_item, per_pattern = np.bincount(items, minlength=m), np.bincount(owner, minlength=n)
-    step = 1.0 / max(1.0, float(per_item.max(initial=1) * per_pattern.max(initial=1)))
+    step = 1.0 / float(max(1, per_item.max(initial=1) * per_pattern.max(initial=1)) * weight.max(initial=0) ** 2)
     x = np.zeros(n)
     y, t = x.copy(), 1.0
     for _ in range(ROUNDS):
-        over = np.bincount(items, weights=y[owner], minlength=m) - target
+        over = weight * weight * (np.bincount(items, weights=y[owner], minlength=m) - target)
         new = np.maximum(0.0, y - step * np.bincount(owner, weights=over[items], minlength=n))
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y, x, t = new + (t - 1) / t2 * (new - x), new, t2
@@ -205,31 +213,29 @@ def best_fit_runs(count: dict[int, int], capacity: int) -> list[tuple[tuple[int,
 
 
 def plan(count: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use every piece of the histogram exactly once."""
-    lengths = sorted(k for k, n in count.items() if n)
-    if not lengths:
-        return []
-    table = patterns(lengths, capacity)
-    place = {size: i for i, size in enumerate(lengths)}
-    left = np.array([count[size] for size in lengths], np.int64)
+    """(pattern, repeats) that use every piece of the histogram exactly once.
+    What rounding leaves is fitted again, with other patterns."""
+    left = {size: n for size, n in count.items() if n}
     chosen: list[tuple[tuple[int, ...], int]] = []
-    if table:
+    for again in range(FITS):
+        lengths = sorted(left)
+        if not lengths:
+            break
+        table = patterns(lengths, capacity, again)
+        place = {size: i for i, size in enumerate(lengths)}
         items = np.array([place[size] for p in table for size in p])
         owner = np.repeat(np.arange(len(table)), [len(p) for p in table])
-        scale = float(left.max())
-        wish = fit(items, owner, len(table), left / scale) * scale
+        scale = float(max(left.values()))
+        target = np.array([left[size] for size in lengths]) / scale
+        wish = fit(items, owner, len(table), target, np.array(lengths) / capacity) * scale
         for p, want in zip(table, np.floor(wish + 1e-9).astype(np.int64).tolist()):
-            if want <= 0:
-                continue
-            use = np.bincount([place[size] for size in p], minlength=0)
-            at = np.flatnonzero(use)
-            n = int(min(want, (left[at] // use[at]).min()))
+            n = min(want, *(left[size] // p.count(size) for size in p)) if want > 0 else 0
             if n:
-                left[at] -= n * use[at]
                 chosen.append((p, n))
-    chosen += best_fit_runs({size: int(n) for size, n in zip(lengths, left) if n}, capacity)
-    plain = best_fit_runs({size: count[size] for size in lengths}, capacity)
-    return min(chosen, plain, key=lambda c: sum(n for _, n in c))
+                for size in p:
+                    left[size] -= n
+        left = {size: n for size, n in left.items() if n}
+    return chosen + best_fit_runs(left, capacity)
 
 
 def slots(chosen: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

@@ -337,6 +337,15 @@ def test_packing_plan_uses_every_piece_once(seed):
     assert used == count
 
 
+@pytest.mark.parametrize("seed", range(1, 4))
+def test_packing_plan_is_the_fitted_one(seed):
+    rnd = random.Random(seed)
+    count = {rnd.randint(1, 100): rnd.randint(1, 10 ** (seed + 1)) for _ in range(25)}
+    plan, plain = packing.plan(count, 100), packing.best_fit_runs(count, 100)
+    assert plan != plain  # plain best-fit never stands in for it
+    assert sum(n for _, n in plan) <= 1.02 * sum(n for _, n in plain)
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
