@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 import time
 import uuid
 
@@ -28,7 +29,17 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["staged"] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``stage`` that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(table.__dict__["staged"]).getParent()  # noqa: SLF001
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)  # noqa: SLF001
 
 
 def release(spark: SparkSession) -> None:
@@ -76,3 +87,8 @@ def blocks(offsets: np.ndarray, limit: int):
 
 def ids(col) -> list:
     return col.to_pylist()
+
+
+def whole(x: float, scale: int) -> int:
+    """floor(scale * x), also where the product is no finite double."""
+    return int(x) * scale if abs(x) >= 2.0 ** 53 else math.floor(x * scale)

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, packing, quality, secrets, sharding, simhash, substrings, topk
+from . import bpe, clustering, language, lines, manifest, naming, packing, quality, secrets, sharding, simhash, substrings, topk
 from .common import documents
+from .oracle import ORACLE  # noqa: F401
 
 
 def tokenizer_path(name: str) -> str:
@@ -69,6 +70,23 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicate(documents(spark, sf_dir)).drop("kept", "other")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.deduplicate(documents(spark, sf_dir)).drop("level", "name")
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return clustering.cluster(vectors, k=16, rounds=3, scale=64, dims=64)[0]
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    made = manifest.manifest(documents(spark, sf_dir), altered={"text": tampered})
+    back = manifest.folded(F.col("again"), F.col("siblings"))
+    return made.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("siblings")).alias("proof_sha256"),
+                       back.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_simhash": op2_simhash,
@@ -80,5 +98,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_lines": op10_lines,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLE: dict[str, str] = {}

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import whole
+
 CANDIDATES, QUERIES, CHUNK = 8192, 1024, 64
 LONG = (-(1 << 63), (1 << 63) - 1)
 
@@ -33,13 +35,15 @@ def _matrix(col) -> np.ndarray:
     return out
 
 
-def _integers(a: np.ndarray, b: np.ndarray):
-    """Both as int64 where no score can overflow, else as Python integers."""
-    bound = float((np.abs(a).max(0, initial=0) * np.abs(b).max(0, initial=0)).sum())
-    if max(bound, np.abs(a).max(initial=0), np.abs(b).max(initial=0)) < 2.0 ** 62:
-        return a.astype(np.int64), b.astype(np.int64)
-    whole = np.vectorize(int, otypes=[object])
-    return whole(a), whole(b)
+def _integers(a: np.ndarray, b: np.ndarray, scale: int):
+    """floor(scale * x) of both, as int64 where no score can overflow, else as Python integers."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        x, y = (np.abs(m).max(0, initial=0) * scale + 1 for m in (a, b))
+        bound = max(float((x * y).sum()), x.max(initial=0), y.max(initial=0))
+    if bound < 2.0 ** 62:
+        return np.floor(a * scale).astype(np.int64), np.floor(b * scale).astype(np.int64)
+    exact = np.vectorize(lambda v: whole(v, scale), otypes=[object])
+    return exact(a), exact(b)
 
 
 def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -58,12 +62,12 @@ def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(query_ids, queries, ids, candidates, k: int):
+def best(query_ids, queries, ids, candidates, k: int, scale: int):
     """(query, candidate, score) triples of the k best per query; ties to the smaller id."""
     width = max(queries.shape[1], candidates.shape[1])
     queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
     candidates = np.pad(candidates, ((0, 0), (0, width - candidates.shape[1])))
-    queries, candidates = _integers(queries, candidates)
+    queries, candidates = _integers(queries, candidates, scale)
     for at in range(0, len(queries), CHUNK):
         dense = scores(queries[at:at + CHUNK], candidates)
         for q, row in zip(query_ids[at:at + CHUNK].tolist(), dense):
@@ -77,18 +81,12 @@ def best(query_ids, queries, ids, candidates, k: int):
                 yield q, int(vec[j]), min(max(int(own[j]), LONG[0]), LONG[1])
 
 
-def prepared(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, weights): floor(scale * x); rows with a null id, a null vector
-    or a null or non-finite component take no part."""
+def prepared(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(vec_id, weights) as doubles; rows with a null id, a null vector or a
+    null or non-finite component take no part."""
     x = F.col(vec_col).cast("array<double>")
     usable = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-    return vectors.filter(F.col(id_col).isNotNull() & usable).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: _floor(v * scale)).alias("weights"))
-
-
-def _floor(x):
-    """floor that stays a double (Spark's floor returns a long)."""
-    return x - F.pmod(x, F.lit(1.0))
+    return vectors.filter(F.col(id_col).isNotNull() & usable).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("weights"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id",
@@ -96,9 +94,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     """(query_id, rank, vec_id, score): the k highest integer inner products of
     every query against every row but its own (all, if fewer), ties to the
     smaller vec_id.  A query id that occurs twice is asked once; candidates
-    that repeat an id count as often as they occur."""
-    every = prepared(vectors, scale, id_col, vec_col)
-    asked = prepared(queries, scale, id_col, vec_col).dropDuplicates(["vec_id"])
+    that repeat an id count as often as they occur.  Components of any finite
+    size are exact; a score beyond a long is given as the nearest long."""
+    every = prepared(vectors, id_col, vec_col)
+    asked = prepared(queries, id_col, vec_col).dropDuplicates(["vec_id"])
     n_cand = max(1, math.ceil(vectors.count() / CANDIDATES))
     n_query = max(1, math.ceil(queries.count() / QUERIES))
 
@@ -114,7 +113,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("asked").to_numpy()
         ids, weights = table.column("vec_id").to_numpy(), _matrix(table.column("weights"))
-        rows = list(best(ids[kind == 1], weights[kind == 1], ids[kind == 0], weights[kind == 0], k)) if (kind == 0).any() else []
+        rows = list(best(ids[kind == 1], weights[kind == 1], ids[kind == 0], weights[kind == 0], k, scale)) if (kind == 0).any() else []
         q, v, s = zip(*rows) if rows else ((), (), ())
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
 
