@@ -7,11 +7,13 @@ document has one name left.  A document's identity is (level, name): names are
 given by comparing whole blocks and whole pairs, never by a hash, so two
 documents share an identity exactly if their bytes are equal.
 
-A level is one range sort by (block or pair, row, position): copies differ in
-row, so a block that a third of the table holds is spread over as many
-partitions as its share.  Inside a partition a name is the partition's number
-and the rank of the value; a value that runs on from the partition before takes
-that one's name, which needs one small record a partition.
+A level is one range sort: rows are dealt by (hash, row, position) and sorted
+by (hash, block or pair, row, position).  Copies differ in row, so a block that
+a third of the table holds is spread over as many partitions as its share, and
+the sampler of the sort sees numbers, never blocks.  Inside a partition a name
+is the partition's number and the rank of the value.  Values that stand in
+several partitions have their first or last hash; those few records are grouped
+by whole value and take the earliest partition's name.
 """
 
 from __future__ import annotations
@@ -23,83 +25,75 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, partitions, stage
 
 BLOCK = 1024
-PART_BYTES = 32 << 20
+PART_BYTES = 128 << 20
 RANK_BITS = 33  # ranks inside a partition; its number stands above them
-RANKED = "part int, row long, n long, pos long, rank long, first binary, last binary"
+RANKED = "part int, row long, n long, pos long, rank long, hash long, value binary"
+EDGE = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("rank", pa.int64()),
+                  ("hash", pa.int64()), ("value", pa.binary())])
 
 
-def _bytes_of(batch: pa.RecordBatch, keys: list[str], i: int) -> bytes:
-    """One row's key as bytes, for comparing it with another one of the same kind."""
+def _value(batch: pa.RecordBatch, keys: list[str], i: int) -> bytes:
+    """One row's key as bytes, for comparing it with others of the same kind."""
     values = [batch.column(k)[i].as_py() for k in keys]
     return values[0] if len(values) == 1 else np.array(values, np.int64).tobytes()
 
 
 def _ranked(keys: list[str]):
-    """Ranks the values of a sorted partition; its last row has no ``row`` and
-    holds the partition's first and last value and the largest rank."""
+    """Ranks the values of a sorted partition.  At its end come records without
+    a ``row``: the values that have its first or its last hash."""
     def run(batches):
         part = TaskContext.get().partitionId()
-        first = last = None
-        rank = -1
+        rank, last, hashes, edges = -1, None, [None, None], [{}, {}]  # rank -> value, of the first and the last hash
         for batch in batches:
             size = batch.num_rows
             if not size:
                 continue
+            h = batch.column("hash").to_numpy()
             new = np.zeros(size, bool)
+            new[1:] = h[1:] != h[:-1]
             for k in keys:
                 column = batch.column(k)
                 new[1:] |= pc.not_equal(column.slice(1), column.slice(0, size - 1)).to_numpy(zero_copy_only=False)
-            new[0] = _bytes_of(batch, keys, 0) != last if last is not None else True
-            first = _bytes_of(batch, keys, 0) if first is None else first
-            last = _bytes_of(batch, keys, size - 1)
+            new[0] = h[0] != hashes[1] or _value(batch, keys, 0) != last
             ranks = rank + np.cumsum(new)
-            rank = int(ranks[-1])
-            none = pa.nulls(size, pa.binary())
+            hashes[0] = h[0] if hashes[0] is None else hashes[0]
+            if h[-1] != hashes[1]:
+                hashes[1], edges[1] = h[-1], {}
+            for side in (0, 1):
+                for i in np.flatnonzero(new & (h == hashes[side])).tolist():
+                    edges[side][int(ranks[i])] = _value(batch, keys, i)
+            rank, last = int(ranks[-1]), _value(batch, keys, size - 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(size, part, np.int32)), batch.column("row"), batch.column("n"), batch.column("pos"),
-                 pa.array(ranks), none, none], [f.split()[0] for f in RANKED.split(", ")])
-        if last is not None:
-            yield pa.RecordBatch.from_pylist(
-                [{"part": part, "row": None, "n": None, "pos": None, "rank": rank, "first": first, "last": last}],
-                schema=pa.schema([("part", pa.int32()), ("row", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()),
-                                  ("rank", pa.int64()), ("first", pa.binary()), ("last", pa.binary())]))
+                [pa.array(np.full(size, part, np.int32)), batch.column("row"), batch.column("n"), batch.column("pos"), pa.array(ranks),
+                 pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary())], schema=EDGE)
+        found = {(r, int(hashes[side])): v for side in (0, 1) for r, v in edges[side].items()}
+        if found:
+            yield pa.RecordBatch.from_pylist([{"part": part, "rank": r, "hash": h, "value": v} for (r, h), v in found.items()], schema=EDGE)
 
     return run
 
 
-def running_on(edges) -> list[tuple[int, int]]:
-    """(partition, name of its first value) for the partitions whose first value
-    is the last one of the partition before; ``edges``: (part, largest rank,
-    does its first value run on) by part."""
-    found, name = [], None
-    for part, rank, same in edges:
-        if same:
-            found.append((part, name))
-        if not (same and rank == 0):  # else the whole partition is the same value still
-            name = (part << RANK_BITS) | rank
-    return found
+def _name(part, rank):
+    return F.shiftleft(part.cast("long"), RANK_BITS).bitwiseOR(rank)
 
 
 def named(items: DataFrame, keys: list[str], parts: int) -> DataFrame:
     """(row, n, pos, name) of (row, n, pos, *keys): equal keys, equal names."""
-    order = [*keys, "row", "pos"]
-    ranked = stage(items.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_ranked(keys), RANKED), "ranked")
-    before = F.lag("last").over(Window.orderBy("part"))  # a row a partition
-    edges = ranked.filter("row is null").select("part", "rank", F.coalesce(F.col("first") == before, F.lit(False)).alias("same"))
-    runs = running_on(tuple(r) for r in edges.orderBy("part").collect())
-    name = F.shiftleft(F.col("part").cast("long"), RANK_BITS).bitwiseOR(F.col("rank"))
-    rows = ranked.filter("row is not null")
-    if runs:
-        before = rows.sparkSession.createDataFrame(runs, "part int, earlier long")
-        rows = rows.join(F.broadcast(before), "part", "left")  # at most a row a partition
-        name = F.when((F.col("rank") == 0) & F.col("earlier").isNotNull(), F.col("earlier")).otherwise(name)
-    return rows.select("row", "n", "pos", name.alias("name"))
+    items = items.select("*", F.xxhash64(*keys).alias("hash"))
+    ranked = stage(items.repartitionByRange(parts, "hash", "row", "pos").sortWithinPartitions("hash", *keys, "row", "pos")
+                   .mapInArrow(_ranked(keys), RANKED), "ranked")
+    edges = ranked.filter("row is null").select("part", "rank", "hash", "value")
+    first = edges.groupBy("hash", "value").agg(F.min(F.struct("part", "rank")).alias("first"), F.count("*").alias("times"))
+    moved = edges.join(first.filter("times > 1"), ["hash", "value"]).select(
+        "part", "rank", _name(F.col("first.part"), F.col("first.rank")).alias("earlier"))
+    return (ranked.filter("row is not null").join(F.broadcast(moved), ["part", "rank"], "left")  # a few rows a partition
+            .select("row", "n", "pos", F.coalesce("earlier", _name(F.col("part"), F.col("rank"))).alias("name")))
 
 
 def identities(texts: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -143,7 +137,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = stage(own.join(rows.select("row", "doc_id", "text_sha256"), "row"), "documents")
     discard(rows, own)
     best = F.max(F.struct("doc_id", (-F.col("row")).alias("row")))
-    groups = every.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
+    # staged, so that both sides of the join are plain shuffles that adaptive execution can split at a hot group
+    groups = stage(every.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     return every.join(groups, ["level", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.row")).alias("kept"),
         "text_sha256", "level", "name")

@@ -62,10 +62,15 @@ def test_exact_dedup_of_nothing(spark, rows):
     assert naming.deduplicate(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_names_run_on_over_partitions():
-    # partitions 1 and 2 begin with the value that 0 ended with, 2 goes on to another one, 3 begins anew
-    edges = [(0, 4, False), (1, 0, True), (2, 1, True), (3, 0, False), (7, 2, True)]
-    assert naming.running_on(edges) == [(1, 4), (2, 4), (7, 3 << naming.RANK_BITS)]
+def test_colliding_hashes_keep_names_apart(spark, monkeypatch):
+    """All values share one hash and stand in many partitions, interleaved."""
+    monkeypatch.setattr(naming.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    items = spark.range(900).selectExpr("id as row", "1L as n", "0L as pos", "cast(cast(id % 5 as string) as binary) as item")
+    got = naming.named(items, ["item"], 6).collect()
+    names = {}
+    for r in got:
+        names.setdefault(r["row"] % 5, set()).add(r["name"])
+    assert all(len(v) == 1 for v in names.values()) and len(set.union(*names.values())) == 5
 
 
 def test_hot_block_has_one_name_in_many_partitions(spark):
