@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import math
 import time
@@ -59,6 +60,23 @@ def partitions(spark: SparkSession) -> int:
 # ---- inside tasks -------------------------------------------------------------------------------
 
 
+def trimmed(run):
+    """``run`` for mapInArrow, after which the worker, which waits for other
+    tasks, hands freed memory back to the system."""
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string or binary column; null counts as empty."""
     import pyarrow as pa

@@ -12,6 +12,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import trimmed
+
 SCHEMA = "bucket int, code int, doc long, tag long, data binary"
 RESULT = "doc long, tag long, code int, data binary"
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: after every other
@@ -102,8 +104,9 @@ def per_document(code: int, docs: tuple[np.ndarray, np.ndarray], owner: np.ndarr
             [values[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist())])
 
 
-def exchange(rows: DataFrame, partitions: int, reduce_bucket) -> DataFrame:
-    """``reduce_bucket(blobs)`` yields result batches; one bucket is held at a time."""
+def exchange(rows: DataFrame, partitions: int, reduce_bucket, trim: bool = False) -> DataFrame:
+    """``reduce_bucket(blobs)`` yields result batches; one bucket is held at a time.
+    ``trim``: a worker hands freed memory back after its task."""
     def run(batches):
         now, blobs = None, []
         for part in batches:
@@ -121,7 +124,7 @@ def exchange(rows: DataFrame, partitions: int, reduce_bucket) -> DataFrame:
         if blobs:
             yield from reduce_bucket(blobs)
 
-    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RESULT)
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run) if trim else run, RESULT)
 
 
 def document_table(doc: np.ndarray, tag: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:

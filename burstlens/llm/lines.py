@@ -1,9 +1,9 @@
 """Line deduplication by a segment-partition edit join.
 
-A line of at least ``MIN_CHARS`` characters is removed when an earlier line
-(by document, then line number) is equal to it or within ``EDITS`` edits; of a
-repeated text only its first line can be the partner, and everything is judged
-on the input.  Shorter lines stay.
+A line with a word is removed when an earlier line (by document, then line
+number) is equal to it or, from ``MIN_CHARS`` characters on, within ``EDITS``
+edits; of a repeated text only its first line can be the partner, and everything
+is judged on the input.  Lines without a word stay.
 
 * Equal lines meet in a bucket of their two line hashes; each task sends only
   its first line of a text.
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import blocks, id_text, partitions, release, stage, utf8
+from .common import blocks, partitions, release, stage, trimmed, utf8
 from .pretoken import gather, prefix_hash, span_hash
 
 MIN_CHARS = 20
 EDITS = 2
 BLOCK_BYTES = 1 << 20
-UNIT_BYTES = 24 << 20
+UNIT_BYTES = 8 << 20
 PAIRS_AT_ONCE = 1 << 21
 EXACT, LINE, PAIR, NEAR = 1, 2, 3, 4  # result codes
 NEWLINE = 10
@@ -150,8 +150,10 @@ def find_lines(data: np.ndarray, off: np.ndarray):
 def _map(buckets: int, edits: int, least: int):
     def of_block(data, off):
         text, number, begin, end, size = find_lines(data, off)
-        mine = np.flatnonzero(size >= least)
+        worded = np.concatenate([[0], np.cumsum((data != 32) & ((data < 9) | (data > 13)))])
+        mine = np.flatnonzero(worded[end] > worded[begin])
         text, number, begin, end, size = (x[mine] for x in (text, number, begin, end, size))
+        long = size >= least
         hashed = prefix_hash(data, 0), prefix_hash(data, 1)
         one, two = (span_hash(h, begin, end) for h in hashed)
         # the byte of every character, to cut segments between characters
@@ -164,10 +166,10 @@ def _map(buckets: int, edits: int, least: int):
             salt = (other.astype(np.uint64) * np.uint64(8) + np.uint64(i + 1)) * np.uint64(0x9FB21C651E98DF25)
             return span_hash(hashed[0], a, np.minimum(b, end)) ^ salt
 
-        index = [key(size, i, at, n) for i, (at, n) in enumerate(segments(size, edits))]
+        index = [np.where(long, key(size, i, at, n), 0) for i, (at, n) in enumerate(segments(size, edits))]
         asked = []
         for other, i, at, n in probes(size, edits):
-            fits = (other >= least) & (at >= 0) & (at + n <= size)
+            fits = long & (other >= least) & (at >= 0) & (at + n <= size)
             k = key(other, i, np.where(fits, at, 0), np.where(fits, n, 0))
             asked.append(np.where(fits, k, 0))
         return text, number, one, two, sketches(data, begin, end), np.stack(index, 1), np.stack(asked, 1)
@@ -361,8 +363,8 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     doc_id that first holds a line equal or linked to one of the document's,
     itself included.  ``other`` is a struct of the remaining columns.
 
-    A null text has no lines and stays null; an empty text has one (short)
-    line.  Identical repeated rows count as one document; rows that share a
+    A null text has no lines and stays null; an empty text has one line, which
+    has no word and stays.  Identical repeated rows count as one document; rows that share a
     doc_id but not the text are ordered by a digest of it; a null doc_id comes
     after all others.
     """
@@ -377,7 +379,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
                        F.col(id_col).cast("long").alias("doc_id"),
                        F.struct(*(F.col(f"`{c}`") for c in others) if others else [F.lit(None).cast("int").alias("none")]).alias("other"))
     texts = rows.select("doc", "tag", "text")
-    first = stage(X.exchange(texts.mapInArrow(_map(buckets, edits, min_chars), X.SCHEMA), n, _reduce(edits)), "lines")
+    first = stage(X.exchange(texts.mapInArrow(trimmed(_map(buckets, edits, min_chars)), X.SCHEMA), n, _reduce(edits), trim=True), "lines")
     release(spark)
     pairs = stage(first.filter(F.col("code") == PAIR).select(F.col("doc").alias("u"), F.col("tag").alias("v")).distinct(), "pairs")
     table = stage(first.filter(F.col("code").isin(EXACT, LINE)).select("doc", "tag", "code", "data")
@@ -411,7 +413,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
         "text", "hits", "doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.nullif(F.least("doc", F.coalesce("class", "doc")), F.lit(X.NO_ID)).alias("class_id"), "other")
     kind = marked.schema["other"].dataType.simpleString()
-    out = marked.mapInArrow(_finish(["doc_id", "n_links", "class_id", "other", *(c.split(" ")[0] for c in COUNTS.split(", "))]),
+    out = marked.mapInArrow(trimmed(_finish(["doc_id", "n_links", "class_id", "other", *(c.split(" ")[0] for c in COUNTS.split(", "))])),
                             f"doc_id long, n_links long, class_id long, other {kind}, {COUNTS}")
     return out.select("doc_id", "n_lines", "n_exact", "n_near", "n_links", "class_id", "kept_sha256", "kept", "other")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols, split_special, texts_in
-from .common import id_text, stage
+from .common import id_text, stage, trimmed
 from .pretoken import Vocabulary
 
 CAPACITY = 2048
@@ -31,7 +31,8 @@ WASTE = 0.01  # share of a sequence that a fitted pattern may leave empty
 TRIED = 1 << 13  # (first, second) lengths whose patterns are enumerated
 FITS = 4
 ROUNDS = 400
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+BLOCK_BYTES = 2 << 20
 
 # ---- tokens ---------------------------------------------------------------------------------------
 
@@ -104,7 +105,7 @@ def pieces(docs: DataFrame, model_path: str, capacity: int = CAPACITY, id_col: s
     def run(batches):
         tokenizer = _tokenizer(model.value)
         for batch in batches:
-            for row, texts in texts_in(batch.column(1)):
+            for row, texts in texts_in(batch.column(1), BLOCK_BYTES):
                 where, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(tokenizer.encode(texts)):
                     raw = np.append(ids, 0).astype("<u4").tobytes()
@@ -120,7 +121,7 @@ def pieces(docs: DataFrame, model_path: str, capacity: int = CAPACITY, id_col: s
                      pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return id_text(docs, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # ---- plan ----------------------------------------------------------------------------------------

@@ -87,13 +87,13 @@ def passes(rules=RULES) -> Column:
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES,
-            carry: str | None = None) -> DataFrame:
+            carry: str | None = None, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, measures, base_failed, kept) for every row.
 
     A null or empty text has no words and fails.  Rows with null or repeated
     ids are judged one by one.  ``rules`` may be replaced by another table of
     the same form; an empty table keeps all that the base rules keep.
-    ``carry`` names a column that is handed through.
+    ``carry`` names a column that is handed through, ``keep_text`` keeps the text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        *([F.col(f"`{carry}`")] if carry else []))
@@ -104,4 +104,4 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     # always-true test on a row number keeps it above.
     here = F.monotonically_increasing_id() >= 0
     out = out.withColumn("base_failed", failed & here).withColumn("kept", ~F.col("base_failed") & passes(rules) & here)
-    return out.drop("text")
+    return out if keep_text else out.drop("text")

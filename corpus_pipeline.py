@@ -26,12 +26,13 @@ def _struct(docs: DataFrame, *but: str):
     return F.struct(*(F.col(f"`{c}`") for c in names) if names else [F.lit(None).cast("int").alias("none")])
 
 
-def _documents(rows: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``like`` from (doc_id, text, other); n_chars follows the text."""
+def _documents(rows: DataFrame, like: DataFrame, as_was: bool = False) -> DataFrame:
+    """The columns of ``like`` from (doc_id, text, other); n_chars follows the
+    text unless the texts are ``as_was``."""
     def column(c):
         if c in ("doc_id", "text"):
             return F.col(c)
-        if c == "n_chars":
+        if c == "n_chars" and not as_was:
             return F.length("text").cast("long").alias(c)
         return F.col("other").getField(c).alias(c)
 
@@ -40,9 +41,8 @@ def _documents(rows: DataFrame, like: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others stay as they are."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    judged = quality.quality(docs.select("doc_id", "text", row.alias("row")), carry="row")
-    return judged.filter("kept").select("row.*")
+    judged = quality.quality(docs.select("doc_id", "text", _struct(docs, "doc_id", "text").alias("other")), carry="other", keep_text=True)
+    return _documents(judged.filter("kept"), docs, as_was=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

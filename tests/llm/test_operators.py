@@ -379,9 +379,10 @@ def test_lines(spark, docs, none):
     at = {}
     for i, t in text:
         for n, x in enumerate(t.split("\n") if t is not None else ()):
-            if len(x) >= 20:
+            if regex.search(r"[^\x20\x09-\x0D]", x):
                 at.setdefault(x, []).append((i, n))
-    near = {x: [y for y in at if y != x and abs(len(x) - len(y)) <= 2 and levenshtein(x, y) <= 2] for x in at if len(x) < 1000}
+    near = {x: [y for y in at if y != x and len(y) >= 20 and abs(len(x) - len(y)) <= 2 and levenshtein(x, y) <= 2]
+            for x in at if 20 <= len(x) < 1000}
     near |= {x: [] for x in at if x not in near}
     want = {}
     for i, t in text:
