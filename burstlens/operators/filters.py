@@ -34,6 +34,11 @@ class Filters:
     min_heat_level: float | None = None
     max_heat_level: float | None = None
 
+    def on_cells(self) -> bool:
+        """Whether the filter only looks at values that the group cells keep."""
+        bounds = (self.min_lux, self.max_lux, self.min_temperature, self.max_temperature, self.min_heat_level, self.max_heat_level)
+        return not self.q and all(x is None for x in bounds)
+
     def predicate(self) -> Column:
         conds: list[Column] = []
         if self.camera_name:

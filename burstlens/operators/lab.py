@@ -3,9 +3,10 @@
 All inputs are aggregates of event groups ((date, camera[, category, hour])
 counts).  Window-style logic is expressed with joins and aggregates:
 
-* the analysis windows (W4) label the distinct observed dates; the dates that
-  matter (at most 14 recent + 28 baseline, a bound fixed by the rule itself)
-  are read as one scalar of two arrays;
+* the analysis windows (W4) label the distinct observed dates; their first and
+  last dates are read as one scalar, which prunes the folders that are read;
+* counts over all history come from the running totals of the staged
+  combinations, not from old dates;
 * the per-camera trailing forecast (W3) needs zero-filled camera x date
   series.  Instead of materialising that cross product, every observed
   (camera, date) count is sent to the next seven date slots (a fixed 8x
@@ -64,17 +65,31 @@ def analysis_windows(rows: DataFrame) -> DataFrame:
     )
 
 
-def window_dates(windows: DataFrame) -> Column:
-    """Recent and baseline dates as one scalar (recent, baseline) of arrays, at
-    most 14 + 28 dates by the rule itself."""
-    def dates(label: str) -> Column:
-        return F.collect_list(F.when(F.col(label), F.col("date"))).alias(label)
+def window_bounds(windows: DataFrame) -> Column:
+    """The two windows as one scalar: observed dates are consecutive inside a
+    window, so its first and last date say which rows fall into it."""
+    def ends(label: str) -> list[Column]:
+        own = F.when(F.col(label), F.col("date"))
+        return [F.min(own).alias(f"{label}_from"), F.max(own).alias(f"{label}_to"), F.count(own).alias(f"{label}_days")]
 
-    return windows.agg(F.struct(dates("is_recent"), dates("is_baseline"))).scalar()
+    first = F.least(F.min(F.when(F.col("is_recent"), F.col("date"))), F.min(F.when(F.col("is_baseline"), F.col("date")))).alias("first")
+    return windows.agg(F.struct(first, *ends("is_recent"), *ends("is_baseline"))).scalar()
 
 
-def _within(dates: Column, label: str) -> Column:
-    return F.coalesce(F.array_contains(dates.getField(label), F.col("date")), F.lit(False))
+def _within(bounds: Column, label: str) -> Column:
+    return F.coalesce(F.col("date").between(bounds.getField(f"{label}_from"), bounds.getField(f"{label}_to")), F.lit(False))
+
+
+def _counted(bounds: Column, label: str) -> Column:
+    return F.when(_within(bounds, label), F.col("count")).otherwise(0)
+
+
+def with_totals(combo: DataFrame) -> DataFrame:
+    """Combinations with their running totals (the staged table has them)."""
+    if "total" in combo.columns:
+        return combo
+    running = Window.partitionBy("camera_name", "category", "hour").orderBy("date")  # a row a date
+    return combo.withColumn("total", F.sum("count").over(running))
 
 
 # ---------------------------------------------------------------- W2
@@ -123,27 +138,30 @@ def camera_forecast_leaders(cam_fc: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- L1
+def _shift_columns(recent: Column, baseline: Column, recent_all: Column, baseline_all: Column) -> tuple[Column, Column, Column]:
+    """(recent share, baseline share, shift) in per cent."""
+    rs = F.when(recent_all > 0, js_round(recent / recent_all * 100, 1)).otherwise(0.0)
+    bs = F.when(baseline_all > 0, js_round(baseline / baseline_all * 100, 1)).otherwise(0.0)
+    return rs, bs, js_round(rs - bs, 1)
+
+
 def category_shift_all(combo: DataFrame, win: DataFrame | None = None) -> DataFrame:
-    """L1 before the cut: per (camera, category) recent vs baseline share."""
-    dates = window_dates(analysis_windows(combo) if win is None else win)
-    pairs = combo.groupBy("camera_name", "category").agg(
-        F.sum(F.when(_within(dates, "is_recent"), F.col("count")).otherwise(0)).alias("recent_count"),
-        F.sum(F.when(_within(dates, "is_baseline"), F.col("count")).otherwise(0)).alias("baseline_count"),
-    )
+    """L1 before the cut: per (camera, category) recent vs baseline share.
+    Only the dates of the two windows are read."""
+    bounds = window_bounds(analysis_windows(combo) if win is None else win)
+    pairs = combo.filter(F.col("date") >= bounds.getField("first")).groupBy("camera_name", "category").agg(
+        F.sum(_counted(bounds, "is_recent")).alias("recent_count"), F.sum(_counted(bounds, "is_baseline")).alias("baseline_count"))
     cam = Window.partitionBy("camera_name")
-    pairs = pairs.select("*", F.sum("recent_count").over(cam).alias("_rt"),
-                         F.sum("baseline_count").over(cam).alias("_bt"))
-    rs = F.when(F.col("_rt") > 0, js_round(F.col("recent_count") / F.col("_rt") * 100, 1)).otherwise(0.0)
-    bs = F.when(F.col("_bt") > 0, js_round(F.col("baseline_count") / F.col("_bt") * 100, 1)).otherwise(0.0)
+    pairs = pairs.select("*", F.sum("recent_count").over(cam).alias("_rt"), F.sum("baseline_count").over(cam).alias("_bt"))
+    rs, bs, shift = _shift_columns(F.col("recent_count"), F.col("baseline_count"), F.col("_rt"), F.col("_bt"))
     shares = pairs.select("camera_name", "category", "recent_count", "baseline_count",
-                          rs.alias("recent_share_pct"), bs.alias("baseline_share_pct"))
+                          rs.alias("recent_share_pct"), bs.alias("baseline_share_pct"), shift.alias("shift_pct"))
     lift = (F.when(F.col("baseline_share_pct") > 0,
                    js_round(F.col("recent_share_pct") / F.col("baseline_share_pct"), 2))
             .when(F.col("recent_share_pct") > 0, F.lit(float(K.LIFT_NEW))).otherwise(F.lit(float(K.LIFT_NONE))))
     return shares.select(
-        "camera_name", "category", "recent_share_pct", "baseline_share_pct",
-        js_round(F.col("recent_share_pct") - F.col("baseline_share_pct"), 1).alias("shift_pct"),
-        lift.alias("lift"), "recent_count", "baseline_count",
+        "camera_name", "category", "recent_share_pct", "baseline_share_pct", "shift_pct", lift.alias("lift"),
+        "recent_count", "baseline_count",
     ).filter((F.col("recent_count") > 0) | (F.col("baseline_count") > 0))
 
 
@@ -158,30 +176,18 @@ def category_shift_matrix(combo: DataFrame, win: DataFrame | None = None) -> Dat
 
 
 # ---------------------------------------------------------------- L2-L4
-def _novelty_inputs(combo: DataFrame, win: DataFrame | None = None, shifts: DataFrame | None = None):
-    win = analysis_windows(combo) if win is None else win
-    dates = window_dates(win)
-    lab = combo.filter(F.col("category") != F.lit(K.NOVELTY_EXCLUDED))
-    combos = lab.groupBy("camera_name", "category", "hour").agg(
-        F.sum("count").alias("combo_count"),
-        F.sum(F.when(_within(dates, "is_recent"), F.col("count")).otherwise(0)).alias("current_count"),
-        F.sum(F.when(_within(dates, "is_baseline"), F.col("count")).otherwise(0)).alias("baseline_count"),
-    )
-    cat_hour = combos.groupBy("category", "hour").agg(F.sum("combo_count").alias("category_hour_count"))
-    shifts = (category_shift_all(combo, win) if shifts is None else shifts) \
-        .select("camera_name", "category", F.col("shift_pct").alias("_shift"))
-    # The four scalars (two maxima floored at 1, two window day counts) are read
-    # off the category-hour totals, which carry their largest combination.
-    tops = combos.groupBy("category", "hour").agg(F.sum("combo_count").alias("t"), F.max("combo_count").alias("m"))
-    stats = tops.agg(F.struct(
-        F.greatest(F.max("m"), F.lit(1)).alias("max_combo"),
-        F.greatest(F.max("t"), F.lit(1)).alias("max_cat_hour"),
-        F.greatest(F.size(dates.getField("is_recent")), F.lit(1)).alias("recent_day_count"),
-        F.greatest(F.size(dates.getField("is_baseline")), F.lit(1)).alias("baseline_day_count"),
-    ).alias("s")).scalar()
-    days = stats
-    max_combo, max_cat_hour = stats.getField("max_combo"), stats.getField("max_cat_hour")
-    return win, lab, combos, cat_hour, shifts, days, max_combo, max_cat_hour
+def _history(lab: DataFrame) -> tuple[DataFrame, Column]:
+    """Groups of every (category, hour) over all dates, and the two maxima of
+    the score (floored at 1) as one scalar.  Running totals never fall, so the
+    largest one is the largest combination."""
+    tops = lab.groupBy("category", "hour").agg(F.sum("count").alias("category_hour_count"), F.max("total").alias("_most"))
+    maxima = tops.agg(F.struct(F.greatest(F.max("_most"), F.lit(1)).alias("combo"),
+                               F.greatest(F.max("category_hour_count"), F.lit(1)).alias("category_hour"))).scalar()
+    return tops.drop("_most"), maxima
+
+
+def _labelled(combo: DataFrame) -> DataFrame:
+    return with_totals(combo).filter(F.col("category") != F.lit(K.NOVELTY_EXCLUDED))
 
 
 def _score(count_rate: Column, baseline_avg: Column, combo_count: Column, cat_hour_count: Column,
@@ -199,10 +205,20 @@ def _score(count_rate: Column, baseline_avg: Column, combo_count: Column, cat_ho
 def novel_patterns(combo: DataFrame, win: DataFrame | None = None, shifts: DataFrame | None = None) -> DataFrame:
     """L2 before the cut: every (camera, category, hour) pattern of the recent window, scored.
 
-    ``win`` (W4) and ``shifts`` (L1, uncut) may be passed in when already computed."""
-    _, _, combos, cat_hour, shifts, days, max_combo, max_cat_hour = _novelty_inputs(combo, win, shifts)
-    base_days = days.getField("baseline_day_count")
-    recent_days = days.getField("recent_day_count")
+    ``win`` (W4) and ``shifts`` (L1, uncut) may be passed in when already computed.
+    A pattern's count over all history is its last running total, so patterns
+    come from the dates of the windows alone."""
+    win = analysis_windows(combo) if win is None else win
+    bounds = window_bounds(win)
+    lab = _labelled(combo)
+    cat_hour, maxima = _history(lab)
+    shifts = (category_shift_all(combo, win) if shifts is None else shifts).select("camera_name", "category", F.col("shift_pct").alias("_shift"))
+    combos = lab.filter(F.col("date") >= bounds.getField("first")).groupBy("camera_name", "category", "hour").agg(
+        F.sum(_counted(bounds, "is_recent")).alias("current_count"), F.sum(_counted(bounds, "is_baseline")).alias("baseline_count"),
+        F.max("total").alias("combo_count"))
+    base_days = F.greatest(bounds.getField("is_baseline_days"), F.lit(1))
+    recent_days = F.greatest(bounds.getField("is_recent_days"), F.lit(1))
+    max_combo, max_cat_hour = maxima.getField("combo"), maxima.getField("category_hour")
     rows = (combos.filter(F.col("current_count") > 0)
             .join(cat_hour, ["category", "hour"], "left")
             .join(shifts, ["camera_name", "category"], "left"))
@@ -235,10 +251,10 @@ def _driver(cam: Column, cat: Column, hour: Column) -> Column:
 
 def novelty_by_date(combo: DataFrame, novel: DataFrame, win: DataFrame | None = None) -> DataFrame:
     """L3: per recent date, count of rows in all patterns of ``novel`` scoring >= 70 and the top driver."""
-    dates = window_dates(analysis_windows(combo) if win is None else win)
+    bounds = window_bounds(analysis_windows(combo) if win is None else win)
     hot = (novel.filter(F.col("novelty_score") >= K.NOVELTY_THRESHOLD)
            .select("camera_name", "category", "hour", "novelty_score"))
-    rows = (combo.filter((F.col("category") != F.lit(K.NOVELTY_EXCLUDED)) & _within(dates, "is_recent"))
+    rows = (combo.filter((F.col("category") != F.lit(K.NOVELTY_EXCLUDED)) & _within(bounds, "is_recent"))
             .join(hot, ["camera_name", "category", "hour"]))
     order = F.struct(-F.col("novelty_score"), F.col("camera_name"), F.col("category"), F.col("hour"))
     return rows.groupBy("date").agg(
@@ -247,34 +263,44 @@ def novelty_by_date(combo: DataFrame, novel: DataFrame, win: DataFrame | None =
     )
 
 
-def novelty_timeline(combo: DataFrame, win: DataFrame | None = None, shifts: DataFrame | None = None) -> DataFrame:
+def novelty_timeline(combo: DataFrame, win: DataFrame | None = None) -> DataFrame:
     """L4: every observed date with the volume, mean/max score, top driver and
-    dominant category of its patterns scoring >= 70 (row count as the rate)."""
-    win, lab, combos, cat_hour, shifts, days, max_combo, max_cat_hour = _novelty_inputs(combo, win, shifts)
-    base_days = days.getField("baseline_day_count")
-    per = (lab.select("date", "camera_name", "category", "hour", "count")
-           .join(combos.select("camera_name", "category", "hour", "combo_count", "baseline_count"),
-                 ["camera_name", "category", "hour"])
-           .join(cat_hour, ["category", "hour"])
-           .join(shifts, ["camera_name", "category"], "left"))
-    bda = F.floor(F.col("baseline_count") / base_days * 100 + 0.5) / 100.0
-    score = _score(F.col("count").cast("double"), bda, F.col("combo_count"), F.col("category_hour_count"),
-                   F.coalesce(F.col("_shift"), F.lit(0.0)), max_combo, max_cat_hour)
+    dominant category of its patterns scoring >= 70 (row count as the rate).
+
+    Every date is scored, so all combinations are read, once: what a pattern
+    needs of its combination, category and camera comes from windows over a
+    camera's rows (dates x categories x hours), one shuffle by camera."""
+    win = analysis_windows(combo) if win is None else win
+    cat_hour, maxima = _history(_labelled(combo))
+    rows = with_totals(combo).select("*", window_bounds(win).alias("_b"))
+    camera, pair = Window.partitionBy("camera_name"), Window.partitionBy("camera_name", "category")
+    own = Window.partitionBy("camera_name", "category", "hour")
+    rows = rows.select("*", _counted(F.col("_b"), "is_recent").alias("_r"), _counted(F.col("_b"), "is_baseline").alias("_l"))
+    rows = rows.select(
+        "date", "camera_name", "category", "hour", "count", F.col("_b.is_baseline_days").alias("_days"),
+        F.sum("_r").over(camera).alias("_rt"), F.sum("_l").over(camera).alias("_bt"),
+        F.sum("_r").over(pair).alias("_rp"), F.sum("_l").over(pair).alias("_bp"),
+        F.max("total").over(own).alias("combo_count"), F.sum("_l").over(own).alias("baseline_count"))
+    per = rows.filter(F.col("category") != F.lit(K.NOVELTY_EXCLUDED)).join(cat_hour, ["category", "hour"])
+    bda = F.floor(F.col("baseline_count") / F.greatest(F.col("_days"), F.lit(1)) * 100 + 0.5) / 100.0
+    shift = _shift_columns(F.col("_rp"), F.col("_bp"), F.col("_rt"), F.col("_bt"))[2]
+    score = _score(F.col("count").cast("double"), bda, F.col("combo_count"), F.col("category_hour_count"), shift,
+                   maxima.getField("combo"), maxima.getField("category_hour"))
     q = per.select("date", "camera_name", "category", "hour", "count", score.alias("s")) \
         .filter(F.col("s") >= K.NOVELTY_THRESHOLD)
     order = F.struct(-F.col("s"), F.col("camera_name"), F.col("category"), F.col("hour"))
-    daily = q.groupBy("date").agg(
-        F.sum("count").alias("novelty_count"),
+    by_category = q.groupBy("date", "category").agg(
+        F.sum("count").alias("_c"), F.sum(F.round(F.col("s") * 10).cast("bigint")).alias("_tenths"), F.count(F.lit(1)).alias("_n"),
+        F.max("s").alias("_max"), F.min(F.struct(order.alias("order"), _driver(
+            F.col("camera_name"), F.col("category"), F.col("hour")).alias("driver"))).alias("_top"))
+    daily = by_category.groupBy("date").agg(
+        F.sum("_c").alias("novelty_count"),
         # mean of 1-decimal scores, summed exactly in tenths, rounded half up
-        (F.floor((F.sum(F.round(F.col("s") * 10).cast("bigint")) * 2 + F.count(F.lit(1)))
-                 / (F.count(F.lit(1)) * 2)) / F.lit(10.0)).alias("avg_novelty_score"),
-        js_round(F.max("s"), 1).alias("max_novelty_score"),
-        F.min_by(_driver(F.col("camera_name"), F.col("category"), F.col("hour")), order).alias("top_driver"),
-    )
-    dom = q.groupBy("date", "category").agg(F.sum("count").alias("_c")).groupBy("date").agg(
-        F.min_by(F.col("category"), F.struct(-F.col("_c"), F.col("category"))).alias("dominant_category"))
+        (F.floor((F.sum("_tenths") * 2 + F.sum("_n")) / (F.sum("_n") * 2)) / F.lit(10.0)).alias("avg_novelty_score"),
+        js_round(F.max("_max"), 1).alias("max_novelty_score"), F.min("_top").getField("driver").alias("top_driver"),
+        F.min_by("category", F.struct(-F.col("_c"), F.col("category"))).alias("dominant_category"))
     all_dates = win.select("date")
-    out = all_dates.join(daily, "date", "left").join(dom, "date", "left")
+    out = all_dates.join(daily, "date", "left")
     return out.select(
         "date",
         F.coalesce(F.col("novelty_count"), F.lit(0)).alias("novelty_count"),

@@ -41,7 +41,7 @@ def overview(canon: DataFrame, as_of=None) -> dict[str, DataFrame]:
 
 def analytics_lab(canon: DataFrame, as_of=None) -> dict[str, DataFrame]:
     groups = C.event_groups(canon).persist(StorageLevel.MEMORY_AND_DISK)
-    combo = R.combo_daily(groups).persist(StorageLevel.MEMORY_AND_DISK)
+    combo = L.with_totals(R.combo_daily(groups)).persist(StorageLevel.MEMORY_AND_DISK)
     cam_daily = R.camera_daily(groups)
     fc = L.camera_forecast(cam_daily)
     leaders = L.camera_forecast_leaders(fc)
@@ -58,7 +58,7 @@ def analytics_lab(canon: DataFrame, as_of=None) -> dict[str, DataFrame]:
         "anomaly_timeline": L.anomaly_timeline(canon, L.novelty_by_date(combo, novel)),
         "forecast": L.forecast(R.category_trend(groups)), "camera_forecast": fc.drop("i"),
         "camera_forecast_leaders": leaders, "novel_events": L.novel_events(novel),
-        "novelty_timeline": L.novelty_timeline(combo, shifts=shifts), "category_shift_matrix": L.category_shift_matrix(combo),
+        "novelty_timeline": L.novelty_timeline(combo), "category_shift_matrix": L.category_shift_matrix(combo),
         "advanced_insights": L.advanced_insights(leaders, novel, shifts),
         "camera_clusters": L.camera_clusters(diversity, anomalies),
         "data_quality": ops.data_quality(canon),

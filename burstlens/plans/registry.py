@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import canonical as C
+from ..operators import gold as G
 from ..operators import ops
 from ..sources import adapter, staging
 from .shape import finish
@@ -41,6 +42,9 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def groups(spark: SparkSession, sf_dir: str, filters=None) -> DataFrame:
+    """Event groups: of all events from the gold states, of a slice from its events."""
+    if filters is None:
+        return G.event_groups(staging.groups_table(spark, sf_dir))
     return C.event_groups(canon(spark, sf_dir, filters))
 
 
@@ -63,7 +67,7 @@ def q_camera_health_late(spark, d):
 @register("overview_kpis")
 def q_overview_kpis(spark, d):
     c = canon(spark, d)
-    return finish(ops.overview_kpis(C.event_groups(c), ops.camera_health(c, AS_OF)))
+    return finish(ops.overview_kpis(groups(spark, d), ops.camera_health(c, AS_OF)))
 
 
 @register("processing_funnel")
@@ -123,7 +127,7 @@ def _g(spark, d):
 
 @register("kpis")
 def q_kpis(spark, d):
-    return finish(R.kpis(C.kpi_groups(canon(spark, d))))
+    return finish(R.kpis(G.kpi_groups(staging.groups_table(spark, d))))
 
 
 for _name, _fn, _src, _dbl in [
@@ -194,8 +198,8 @@ from ..operators import lab as L  # noqa: E402
 
 
 def combo(spark, d):
-    """Combo table: one plan fragment, so its exchanges are reused within a report."""
-    return R.combo_daily(groups(spark, d))
+    """Staged combinations with running totals."""
+    return staging.combos_table(spark, d)
 
 
 def lab_inputs(spark, d, novel: bool = False):
@@ -251,8 +255,8 @@ def q_novelty_by_date(spark, d):
 
 @register("novelty_timeline")
 def q_novelty_timeline(spark, d):
-    cb, win, sh, _ = lab_inputs(spark, d)
-    return finish(L.novelty_timeline(cb, win, sh))
+    cb = combo(spark, d)
+    return finish(L.novelty_timeline(cb, L.analysis_windows(cb)))
 
 
 @register("anomaly_timeline")
@@ -269,7 +273,7 @@ def q_clusters(spark, d):
 @register("overview_insights")
 def q_overview_insights(spark, d):
     cn = canon(spark, d)
-    g = C.event_groups(cn)
+    g = groups(spark, d)
     health = ops.camera_health(cn, AS_OF_LATE)
     return finish(L.overview_insights(health, ops.overview_kpis(g, health), R.top_cameras(g),
                                       ops.stale_all(health)))
@@ -377,6 +381,37 @@ for _name, _flt in FILTERS.items():
     QUERIES[_name] = _mk()
 
 
+SLICES = {
+    "daily_activity": Filters(camera_name=("cam-00", "cam-03", "alt-21"), subject_category=("wildlife", "human")),
+    "hourly_heatmap": Filters(start_date="2024-01-10", end_date="2024-01-20"),
+    "time_of_day_composition": Filters(mac=("mac-03", "mac-09", "mac-11")),
+    "subject_by_camera": Filters(time_of_day_bucket=("morning", "night"), start_date="2024-01-05"),
+    "monthly_activity": Filters(subject_class=("elk", "fox_coyote", "hiker")),
+    "composition": Filters(time_of_day_bucket=("evening",), end_date="2024-01-25", camera_name=("cam-00", "cam-01", "cam-02", "cam-04")),
+}
+
+
+def on_slice(spark: SparkSession, d: str, report: str, filters: Filters) -> DataFrame:
+    """A4-A9 on a slice: from the group cells where they keep what the filter
+    looks at, else from the events."""
+    if filters.on_cells():
+        return G.REPORTS[report](staging.cells_table(spark, d).filter(filters.predicate()))
+    return getattr(R, report)(canon(spark, d, filters))
+
+
+for _name, _flt in SLICES.items():
+    def _mks(report=_name, flt=_flt):
+        def run(spark, d):
+            return finish(on_slice(spark, d, report, flt), as_double=("hour",))
+        return run
+    QUERIES[f"filtered_{_name}"] = _mks()
+
+
+@register("filtered_kpis")
+def q_filtered_kpis(spark, d):
+    return finish(R.kpis(C.kpi_groups(canon(spark, d, COMBINED))))
+
+
 @register("filtered_overview_kpis")
 def q_filtered_overview(spark, d):
     c = canon(spark, d, COMBINED)

@@ -32,9 +32,11 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import constants, normalize
 from ..operators import canonical as C
+from ..operators import gold as G
 from . import adapter
 
 _MEMO: dict[tuple, tuple[SparkSession, DataFrame]] = {}
@@ -90,6 +92,8 @@ def source_version(spark: SparkSession, path: str) -> str:
 def table_path(spark: SparkSession, sf_dir: str, kind: str = "canonical") -> str:
     this = sys.modules[__name__]  # the layout code is part of the key too
     mods = (adapter, this) if kind == "raw" else (constants, normalize, C, adapter, this)
+    if kind not in ("raw", "canonical"):
+        mods = (*mods, G)
     root = sf_dir.rstrip("/")
     key = hashlib.sha1(f"{root}|{source_version(spark, f'{root}/events.parquet')}|{_digest(*mods)}".encode()).hexdigest()[:16]
     return f"{shared_dir(spark)}/burstlens/{kind}/{key}"
@@ -147,10 +151,8 @@ def raw_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFr
         return df
 
 
-def canonical_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
-    """The staged canonical events for ``sf_dir`` (built on first use, or
-    rebuilt when ``refresh`` is set)."""
-    path = table_path(spark, sf_dir)
+def _staged(spark: SparkSession, path: str, write, refresh: bool) -> DataFrame:
+    """The newest complete version below ``path``, written first if there is none."""
     memo_key = (id(spark), path)
     cached = None if refresh else _memo_get(spark, memo_key)
     if cached is not None:
@@ -160,7 +162,57 @@ def canonical_table(spark: SparkSession, sf_dir: str, refresh: bool = False) ->
         if cached is not None:
             return cached
         if refresh or not latest(spark, path):
-            write_canonical(raw_table(spark, sf_dir, refresh), _version(path))
+            write(_version(path))
         df = spark.read.parquet(latest(spark, path))
         _MEMO[memo_key] = (spark, df)
         return df
+
+
+def canonical_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """The staged canonical events for ``sf_dir`` (built on first use, or
+    rebuilt when ``refresh`` is set)."""
+    return _staged(spark, table_path(spark, sf_dir), lambda path: write_canonical(raw_table(spark, sf_dir, refresh), path), refresh)
+
+
+def states_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """Mergeable event-group states, one folder a date."""
+    def write(path):
+        G.group_states(canonical_table(spark, sf_dir), "event_date").write.partitionBy("event_date").parquet(path)
+
+    return _staged(spark, table_path(spark, sf_dir, "states"), write, refresh)
+
+
+def groups_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """One merged state a group, numbered in order of date and camera."""
+    def write(path):
+        order = ("first_day", "min_camera_name", "event_group")
+        states = G.merged(states_table(spark, sf_dir).drop("event_date")).withColumn("first_day", F.to_date("first_seen"))
+        parts = _parts(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+        (states.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+         .withColumn("number", F.monotonically_increasing_id()).write.parquet(path))
+
+    return _staged(spark, table_path(spark, sf_dir, "groups"), write, refresh)
+
+
+def combos_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """Groups by (date, camera, category, hour) with running totals, one folder a date."""
+    def write(path):
+        combos = G.combinations(G.event_groups(groups_table(spark, sf_dir)))
+        combos.repartition("date").sortWithinPartitions("date", "camera_name").write.partitionBy("date").parquet(path)
+
+    return _staged(spark, table_path(spark, sf_dir, "combos"), write, refresh)
+
+
+def cells_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """Group numbers by every combination of filter values, one folder a date."""
+    def write(path):
+        made = G.cells(canonical_table(spark, sf_dir), groups_table(spark, sf_dir).select("event_group", "number"))
+        made.repartition("event_date", "camera_name").sortWithinPartitions("event_date", "camera_name").write.partitionBy("event_date").parquet(path)
+
+    return _staged(spark, table_path(spark, sf_dir, "cells"), write, refresh)
+
+
+def stage_all(spark: SparkSession, sf_dir: str, refresh: bool = False) -> None:
+    """Every staged table of ``sf_dir``, in order of derivation."""
+    for table in (canonical_table, states_table, groups_table, combos_table, cells_table):
+        table(spark, sf_dir, refresh)
