@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import canonical as C
 from ..operators import gold as G
@@ -496,6 +497,30 @@ def q_head_export(spark, d):
     return finish(ingest.head_export(raw_events(spark, d)), as_double=("heat_level",))
 
 
+# ------------------------------------------------------ deliveries
+# The store holds what came before; the whole delivery comes again.
+REPLAY_FROM = "2024-01-16T00:00:00"
+
+
+@register("ingest_raw_json")
+def q_ingest_raw_json(spark, d):
+    raw = ingest.read_raw_export(spark, staging.export_folder(spark, d))
+    return finish(ingest.raw_to_events(raw), as_double=RAW_DOUBLE, as_text=RAW_TEXT)
+
+
+@register("ingest_field_map")
+def q_ingest_field_map(spark, d):
+    raw = ingest.read_raw_export(spark, staging.export_folder(spark, d))
+    return finish(ingest.loader_projection(raw), as_double=("heat_level",))
+
+
+@register("merge_insert_ignore")
+def q_merge_insert_ignore(spark, d):
+    held = raw_events(spark, d).filter(F.col("utc_timestamp") < F.lit(REPLAY_FROM).cast("timestamp_ntz"))
+    come = raw_events(spark, d).withColumn("_order", F.col("utc_timestamp"))
+    return finish(ingest.merge_insert_ignore(held, come, "_order"), as_double=RAW_DOUBLE, as_text=RAW_TEXT)
+
+
 # ------------------------------------------------------ governed workspace
 from . import builder as B  # noqa: E402
 

@@ -37,12 +37,21 @@ from pyspark.sql import functions as F
 from ..functions import constants, normalize
 from ..operators import canonical as C
 from ..operators import gold as G
-from . import adapter
+from . import adapter, json_array
 
 _MEMO: dict[tuple, tuple[SparkSession, DataFrame]] = {}
 # One builder at a time per process: concurrent first calls must not write
 # the same table twice.
 _LOCK = threading.RLock()
+# FIXED VALUES: keys of one raw export record, in export order.
+EXPORT_KEYS = (
+    "name", "mac", "utc_timestamp", "sequence", "sensor", "location", "filename", "fileType", "id",
+    "timestamp", "utc_timestamp_off", "timezone", "event", "tag", "upload", "ai_description", "analysis",
+    "ai_processed", "ai_timestamp", "json_processed", "json_timestamp", "image_blob_url", "uploaded",
+    "created", "heatLevel", "latitude", "longitude", "temperature", "humidity", "pressure", "bearing",
+    "voltage", "batteryPercentage", "lux", "analysis_title", "analysis_summary", "subject_class",
+    "subject_category", "time_of_day_bucket", "camera_name",
+)
 # Source bytes behind one task of the bronze sort; the rows are wider than the source's.
 TASK_BYTES = 64 << 20
 
@@ -69,7 +78,7 @@ def _digest(*modules) -> str:
     return hashlib.sha1(text.encode()).hexdigest()[:12]
 
 
-def _statuses(spark: SparkSession, path: str, pattern: bool = False) -> list[tuple[str, int, int]]:
+def statuses(spark: SparkSession, path: str, pattern: bool = False) -> list[tuple[str, int, int]]:
     """(path, length, modification time) of the files under ``path``, or of those
     that match it, as any Hadoop file system lists them (no job runs)."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
@@ -86,14 +95,14 @@ def _statuses(spark: SparkSession, path: str, pattern: bool = False) -> list[tup
 
 def source_version(spark: SparkSession, path: str) -> str:
     """Digest of the names, lengths and modification times of the files under ``path``."""
-    return hashlib.sha1("\n".join(f"{p} {n} {t}" for p, n, t in _statuses(spark, path)).encode()).hexdigest()[:16]
+    return hashlib.sha1("\n".join(f"{p} {n} {t}" for p, n, t in statuses(spark, path)).encode()).hexdigest()[:16]
 
 
 def table_path(spark: SparkSession, sf_dir: str, kind: str = "canonical") -> str:
     this = sys.modules[__name__]  # the layout code is part of the key too
     mods = (adapter, this) if kind == "raw" else (constants, normalize, C, adapter, this)
     if kind not in ("raw", "canonical"):
-        mods = (*mods, G)
+        mods = (*mods, G, json_array)
     root = sf_dir.rstrip("/")
     key = hashlib.sha1(f"{root}|{source_version(spark, f'{root}/events.parquet')}|{_digest(*mods)}".encode()).hexdigest()[:16]
     return f"{shared_dir(spark)}/burstlens/{kind}/{key}"
@@ -101,7 +110,7 @@ def table_path(spark: SparkSession, sf_dir: str, kind: str = "canonical") -> str
 
 def latest(spark: SparkSession, path: str) -> str | None:
     """The newest complete version of a staged table."""
-    done = [(t, p) for p, _, t in _statuses(spark, f"{path}/*/_SUCCESS", pattern=True)]
+    done = [(t, p) for p, _, t in statuses(spark, f"{path}/*/_SUCCESS", pattern=True)]
     return max(done)[1].rsplit("/", 1)[0] if done else None
 
 
@@ -111,7 +120,7 @@ def _version(path: str) -> str:
 
 def _parts(spark: SparkSession, source: str) -> int:
     """Tasks of the bronze sort: by the source's bytes, at least one a slot."""
-    size = sum(n for _, n, _ in _statuses(spark, source))
+    size = sum(n for _, n, _ in statuses(spark, source))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism,
                math.ceil(size / TASK_BYTES))
 
@@ -212,7 +221,24 @@ def cells_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Data
     return _staged(spark, table_path(spark, sf_dir, "cells"), write, refresh)
 
 
+def export_folder(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
+    """The raw rows as a delivery: a folder of JSON-array files."""
+    def write(path):
+        raw = raw_table(spark, sf_dir)
+        keys = [k for k in EXPORT_KEYS if k in raw.columns]
+        record = F.to_json(F.struct(*(F.col(f"`{k}`").cast("string").alias(k) if "timestamp" in raw.schema[k].dataType.typeName() else F.col(f"`{k}`")
+                                      for k in keys)), {"ignoreNullFields": "false"})
+        raw.select(record.alias("record")).mapInArrow(json_array.as_array, "value string").write.text(path)
+
+    path = table_path(spark, sf_dir, "export")
+    with _LOCK:
+        if refresh or not latest(spark, path):
+            write(_version(path))
+    return latest(spark, path)
+
+
 def stage_all(spark: SparkSession, sf_dir: str, refresh: bool = False) -> None:
     """Every staged table of ``sf_dir``, in order of derivation."""
     for table in (canonical_table, states_table, groups_table, combos_table, cells_table):
         table(spark, sf_dir, refresh)
+    export_folder(spark, sf_dir, refresh)

@@ -23,7 +23,7 @@ def test_available_now_stream_equals_batch(spark, scratch):
     raw.limit(20).write.parquet(os.path.join(src, "part3"))
     q = start_incremental_summary(spark, os.path.join(src, "*"), events, summary, ckpt, raw.schema)
     q.awaitTermination()
-    assert spark.read.parquet(events).count() == raw.count()
+    assert spark.read.parquet(f"{events}/events").count() == raw.count()
     got = spark.read.parquet(summary)
     exp = SM.daily_camera_summary(raw)
     cols = [c for c in exp.columns]
@@ -39,4 +39,32 @@ def test_late_rows_are_kept(spark, scratch):
     for part, rows in (("new", raw.filter(f"not ({late})")), ("old", raw.filter(late))):
         rows.write.parquet(os.path.join(src, part))
         start_incremental_summary(spark, os.path.join(src, "*"), events, summary, ckpt, raw.schema).awaitTermination()
-    assert spark.read.parquet(events).count() == raw.count()
+    assert spark.read.parquet(f"{events}/events").count() == raw.count()
+
+
+def test_store_merge_reads_touched_buckets_and_days(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from burstlens.sources import store
+    raw = staging.raw_table(spark, SMALL).withColumn("_order", F.col("utc_timestamp"))
+    schema = raw.drop("_order").schema
+    old = raw.filter("utc_timestamp < timestamp '2024-01-16 00:00:00'")
+    store.merge(old, scratch, "_order", "one")
+    few = raw.filter("utc_timestamp >= timestamp '2024-01-30 00:00:00'").limit(5).unionAll(old.limit(5)).persist()
+    buckets = [r[0] for r in few.select(store.bucket("id")).distinct().collect()]
+    text = store.seen(spark, scratch, buckets, "two")._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    assert "PartitionFilters" in text and "bucket#" in text.split("PartitionFilters: ")[1].split("]")[0] and "struct<id:string>" in text
+    days = store.merge(few, scratch, "_order", "two")
+    n = spark.read.parquet(f"{scratch}/events").count()
+    assert n == old.count() + 5 and len(days) <= 2
+    text = store.of_days(spark, scratch, schema, days)._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    assert "day#" in text.split("PartitionFilters: ")[1].split("]")[0]
+    # the same delivery again, and one that died after its events were written
+    assert store.merge(few, scratch, "_order", "two") == days
+    few.select("*").drop("_order").limit(3).withColumn("day", F.lit(None).cast("date")).withColumn("delivery", F.lit("three")) \
+        .write.mode("append").partitionBy("day", "delivery").parquet(f"{scratch}/events")
+    store.merge(raw, scratch, "_order", "three")
+    held = spark.read.parquet(f"{scratch}/events")
+    assert spark.read.parquet(f"{scratch}/ids").select("id").distinct().count() == raw.count()
+    assert held.filter("delivery <> 'three' or day is not null").select("id").distinct().count() >= raw.filter("`timestamp` is not null").count()
+    few.unpersist()
