@@ -18,12 +18,14 @@ from . import canonical as C
 from .filters import SORT_KEYS, EventQuery
 
 
-def _sized(top: DataFrame, rows: DataFrame) -> DataFrame:
-    """Burst sizes for a cut list of bounded length (a page or a top-k list)."""
+def _sized(top: DataFrame, rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Burst sizes for a cut list of bounded length (a page or a top-k list):
+    counted over ``rows``, or read from ``sizes`` (event_group,
+    event_group_size) where those of all events are at hand."""
     row = F.struct(*[F.col(f"`{c}`") for c in top.columns])
     page = top.agg(F.struct(F.collect_list(row).alias("rows"), F.collect_set("event_group").alias("keys"))).scalar()
     listed = F.array_contains(page.getField("keys"), F.col("event_group")) | F.col("event_group").isNull()
-    sizes = C.group_sizes(rows.filter(listed)).withColumnRenamed("event_group", "_g")
+    sizes = (C.group_sizes(rows.filter(listed)) if sizes is None else sizes.filter(listed)).withColumnRenamed("event_group", "_g")
     cut = rows.sparkSession.range(1).select(F.inline(page.getField("rows")))
     return cut.join(sizes, F.col("event_group").eqNullSafe(F.col("_g")), "left").drop("_g")
 
@@ -84,12 +86,13 @@ def event_records(rows: DataFrame, category: str = "category") -> DataFrame:
     )
 
 
-def events_page(canon: DataFrame, query: EventQuery) -> DataFrame:
-    """K1: one page of filtered events, sorted by the chosen key then id."""
+def events_page(canon: DataFrame, query: EventQuery, sizes: DataFrame | None = None) -> DataFrame:
+    """K1: one page of filtered events, sorted by the chosen key then id.
+    ``sizes``: burst sizes of all events, for a query without filters."""
     rows = canon.filter(query.predicate())
     order = [_pg_order(SORT_KEYS[query.sort_by], query.sort_dir), F.col("id").asc()]
     page = rows.orderBy(*order).offset((query.page - 1) * query.page_size).limit(query.page_size)
-    return event_records(_sized(page, rows), "category")
+    return event_records(_sized(page, rows, sizes), "category")
 
 
 def events_page_after(canon: DataFrame, query: EventQuery, after_value=None, after_id: str | None = None) -> DataFrame:
@@ -123,7 +126,7 @@ def events_page_after(canon: DataFrame, query: EventQuery, after_value=None, aft
     return event_records(_sized(page, rows), "category")
 
 
-def notable_events(canon: DataFrame) -> DataFrame:
+def notable_events(canon: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """K2: upload failures, then low voltage, then longest processing lag, newest."""
     c = F.col
     order = [
@@ -134,7 +137,7 @@ def notable_events(canon: DataFrame) -> DataFrame:
         c("id").asc(),
     ]
     top = canon.orderBy(*order).limit(K.NOTABLE_EVENTS)
-    return event_records(_sized(top, canon), "subject_category")
+    return event_records(_sized(top, canon, sizes), "subject_category")
 
 
 def day_events(day_rows: DataFrame) -> DataFrame:

@@ -85,6 +85,10 @@ def event_groups(states: DataFrame) -> DataFrame:
         c("suspicious").cast("int").alias("suspicious_numeric_count"))
 
 
+def group_sizes(states: DataFrame) -> DataFrame:
+    return states.select("event_group", F.col("n").cast("int").alias("event_group_size"))
+
+
 def kpi_groups(states: DataFrame) -> DataFrame:
     """Groups for the headline KPIs, category without the 'unknown' default."""
     c = F.col

@@ -307,7 +307,7 @@ def q_residual_matrix(spark, d):
 from ..operators import explorer as X  # noqa: E402
 from ..operators import summary as SM  # noqa: E402
 from ..operators.canonical import BASE_COLUMNS  # noqa: E402
-from ..operators.filters import EventQuery, Filters  # noqa: E402
+from ..operators.filters import SORT_KEYS, EventQuery, Filters  # noqa: E402
 from ..sources import ingest  # noqa: E402
 
 RECORD_DOUBLE = ("lux", "heat_level", "bearing", "upload_lag_seconds", "ai_lag_seconds", "processing_lag_seconds")
@@ -333,6 +333,11 @@ COMBINED = Filters(start_date="2024-01-05", end_date="2024-01-25", subject_class
                    min_temperature=-55)
 
 
+def sizes(spark, d):
+    """Burst sizes of all events, from the gold states."""
+    return G.group_sizes(staging.groups_table(spark, d))
+
+
 def _records(df):
     return finish(df, as_double=RECORD_DOUBLE, as_text=RECORD_TEXT)
 
@@ -351,7 +356,16 @@ def q_event_group_size(spark, d):
 
 @register("events_page")
 def q_events_page(spark, d):
-    return _records(X.events_page(canon(spark, d), PAGE_DEFAULT))
+    return _records(X.events_page(canon(spark, d), PAGE_DEFAULT, sizes(spark, d)))
+
+
+for _key in SORT_KEYS:
+    for _dir in ("asc", "desc"):
+        def _mkp(query=EventQuery(page=2, page_size=20, sort_by=_key, sort_dir=_dir)):
+            def run(spark, d):
+                return _records(X.events_page(canon(spark, d), query, sizes(spark, d)))
+            return run
+        QUERIES[f"events_page_{_key}_{_dir}"] = _mkp()
 
 
 @register("events_page_filtered")
@@ -361,7 +375,7 @@ def q_events_page_filtered(spark, d):
 
 @register("notable_events")
 def q_notable(spark, d):
-    return _records(X.notable_events(canon(spark, d)))
+    return _records(X.notable_events(canon(spark, d), sizes(spark, d)))
 
 
 @register("day_summary_events")
