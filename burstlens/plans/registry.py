@@ -550,6 +550,35 @@ BUILDER_SPEC = B.BuilderSpec(
 )
 
 
+BUILDER_COMPARE = B.BuilderSpec(
+    relation="events",
+    columns=("camera_name", "sequence"),
+    aggregates=(B.Aggregate("COUNT", "id", "events"), B.Aggregate("MIN", "temperature"), B.Aggregate("SUM", "voltage"),
+                B.Aggregate("MAX", "lux"), B.Aggregate("AVG", "humidity")),
+    filters=(B.Filter("temperature", ">", -58), B.Filter("temperature", "<=", 400), B.Filter("sequence", ">=", 1),
+             B.Filter("lux", "<", 45), B.Filter("sequence", "!=", 2), B.Filter("camera_name", "ILIKE", "CAM-%"),
+             B.Filter("ai_processed", "=", "true")),
+    sort=(B.Sort("sequence", "desc"), B.Sort("camera_name")),
+)
+BUILDER_ROWS = B.BuilderSpec(
+    relation="events",
+    columns=("id", "camera_name", "sensor", "upload"),
+    filters=(B.Filter("event", "LIKE", "grp-%1"), B.Filter("upload", "IS NULL"), B.Filter("sensor", "=", "B")),
+    sort=(B.Sort("id"),),
+    limit=500,
+)
+
+
+@register("builder_compare")
+def q_builder_compare(spark, d):
+    return finish(B.build(B.relations(spark, d), BUILDER_COMPARE), as_double=("max_lux",))
+
+
+@register("builder_rows")
+def q_builder_rows(spark, d):
+    return finish(B.build(B.relations(spark, d), BUILDER_ROWS))
+
+
 @register("builder_query")
 def q_builder(spark, d):
     return finish(B.build(B.relations(spark, d), BUILDER_SPEC))
