@@ -4,8 +4,9 @@ Documents become token pieces of at most ``capacity`` tokens.  Only the
 histogram of piece lengths (at most ``capacity`` numbers) reaches the driver:
 few-piece patterns that nearly fill a sequence are enumerated, their repeat
 counts are fitted to the histogram by non-negative least squares and rounded
-down, what is left is fitted again, and the rest is packed best-fit decreasing, whole runs of equal
-lengths at a time.  The plan is a short table "the pieces of length L with
+with running sums, those of pieces longer than half a sequence first; what is
+left is fitted again, and the rest is packed best-fit decreasing, whole runs
+of equal lengths at a time.  The plan is a short table "the pieces of length L with
 ranks from s to s+n go to sequences from q on, at offset o"; every piece finds
 its place from its rank among the pieces of its length.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,9 @@ from .pretoken import Vocabulary
 CAPACITY = 2048
 SALTS = 64
 WASTE = 0.01  # share of a sequence that a fitted pattern may leave empty
-TRIED = 1 << 13  # (first, second) lengths whose patterns are enumerated
-FITS = 4
+SECONDS = 8  # second lengths tried with every first length
+PIECES = 4  # most pieces of a fitted pattern
+FITS = 6
 ROUNDS = 400
 CACHE_WORDS = 200_000
 BLOCK_BYTES = 2 << 20
@@ -129,8 +132,9 @@ def pieces(docs: DataFrame, model_path: str, capacity: int = CAPACITY, id_col: s
 
 def patterns(lengths: list[int], capacity: int, shift: int = 0) -> list[tuple[int, ...]]:
     """Few-piece patterns that leave at most ``WASTE`` of a sequence empty, and
-    of every length its fullest one.  Second and third lengths are strided from
-    ``shift`` on where all of them would be more than ``TRIED``."""
+    of every length its fullest one; longest first lengths first, lengths in a
+    pattern descending.  Of a first length's second lengths, ``SECONDS`` are
+    tried, evenly spread over the range and moved by ``shift``."""
     least = capacity - int(WASTE * capacity)
     found: set[tuple[int, ...]] = set()
 
@@ -138,25 +142,23 @@ def patterns(lengths: list[int], capacity: int, shift: int = 0) -> list[tuple[in
         i = bisect_left(lengths, limit + 1)
         return lengths[i - 1] if i else None
 
-    def some(limit: int, n: int) -> list[int]:
-        below = lengths[:bisect_left(lengths, limit)]
-        every = max(1, len(below) // n)
-        return below[shift % every::every]
+    def filled(pattern: tuple[int, ...]) -> tuple[int, ...]:
+        while len(pattern) < PIECES and (c := largest(min(pattern[-1], capacity - sum(pattern)))) is not None:
+            pattern += (c,)
+        return pattern
 
-    tried = max(8, TRIED // len(lengths))
     for a in lengths:
-        mine = [(a,)]
         room = capacity - a
-        mine += [(a, b) for less in range(4) if (b := largest(room - less)) is not None]  # the complement and the next smaller
-        for b in some(room, tried):
-            for c in {largest(room - b), *some(room - b, max(1, tried // 64))}:
-                if c is not None:
-                    mine.append((a, b, c))
-                    if (d := largest(room - b - c)) is not None:
-                        mine.append((a, b, c, d))
+        mine = [(a,), filled((a,) * min(PIECES, capacity // a))]
+        mine += [(a, b) for less in range(4) if (b := largest(min(a, room - less))) is not None]  # the complement and the next smaller
+        below = lengths[bisect_left(lengths, max(1, room // 3)):bisect_left(lengths, min(a, room) + 1)]
+        every = max(1, len(below) // SECONDS)
+        for b in below[shift % every::every]:
+            if (c := largest(min(b, room - b))) is not None:
+                mine += [(a, b, c), filled((a, b, c))]
         fullest = max(mine, key=sum)
-        found |= {tuple(sorted(p, reverse=True)) for p in mine if p is fullest or sum(p) >= least}
-    return sorted(found, key=lambda p: (capacity - sum(p), len(p), p))
+        found |= {p for p in mine if p is fullest or sum(p) >= least}
+    return sorted(found, key=lambda p: (-p[0], capacity - sum(p), len(p), p))
 
 
 def fit(items: np.ndarray, owner: np.ndarray, n: int, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -213,11 +215,51 @@ def best_fit_runs(count: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     return [g for room in rooms for g in groups[room]]
 
 
+def whole_repeats(table: list[tuple[int, ...]], wish: np.ndarray, left: dict[int, int], capacity: int,
+                  only_long: bool) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeats of the nearly full patterns, taken out of ``left``.
+
+    Repeats are rounded as running sums over the patterns of one first length,
+    so rounding costs less than one sequence a length.  A first length above
+    half a sequence needs a sequence for every piece, whatever the fit gives
+    it: its shares are scaled to the pieces left.  ``only_long`` leaves the
+    patterns without such a piece for a later fit, when it is known which
+    pieces the long ones need.
+    """
+    least = capacity - int(WASTE * capacity)
+    chosen: list[tuple[tuple[int, ...], int]] = []
+    for head, places in groupby(range(len(table)), key=lambda k: table[k][0]):
+        mine = list(places)
+        if only_long and 2 * head <= capacity:
+            continue
+        wanted = float(wish[mine].sum())
+        scale = left.get(head, 0) / wanted if 2 * head > capacity and wanted > 0 else 1.0
+        total, given = 0.0, 0
+        for k in mine:
+            p = table[k]
+            total += wish[k] * scale
+            want = int(total + 1e-6) - given
+            if sum(p) < least:
+                given += want  # its share goes on to the next fit
+                continue
+            n = min(want, *(left.get(size, 0) // p.count(size) for size in p)) if want > 0 else 0
+            if n > 0:
+                chosen.append((p, n))
+                given += n
+                for size in p:
+                    left[size] -= n
+    return chosen
+
+
 def plan(count: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, repeats) that use every piece of the histogram exactly once.
-    What rounding leaves is fitted again, with other patterns."""
+
+    What rounding leaves is fitted again, with other patterns; of the up to
+    ``FITS`` fits, as many are kept as give the fewest sequences once the
+    residual is packed, at least one."""
     left = {size: n for size, n in count.items() if n}
     chosen: list[tuple[tuple[int, ...], int]] = []
+    best: list[tuple[tuple[int, ...], int]] = []
     for again in range(FITS):
         lengths = sorted(left)
         if not lengths:
@@ -229,14 +271,13 @@ def plan(count: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[in
         scale = float(max(left.values()))
         target = np.array([left[size] for size in lengths]) / scale
         wish = fit(items, owner, len(table), target, np.array(lengths) / capacity) * scale
-        for p, want in zip(table, np.floor(wish + 1e-9).astype(np.int64).tolist()):
-            n = min(want, *(left[size] // p.count(size) for size in p)) if want > 0 else 0
-            if n:
-                chosen.append((p, n))
-                for size in p:
-                    left[size] -= n
+        chosen = chosen + whole_repeats(table, wish, left, capacity, again == 0 and 2 * lengths[-1] > capacity)
         left = {size: n for size, n in left.items() if n}
-    return chosen + best_fit_runs(left, capacity)
+        if chosen:
+            whole = chosen + best_fit_runs(left, capacity)
+            if not best or sum(n for _, n in whole) < sum(n for _, n in best):
+                best = whole
+    return best or best_fit_runs(left, capacity)  # no pattern had a whole repeat
 
 
 def slots(chosen: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

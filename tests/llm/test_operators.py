@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -346,6 +347,34 @@ def test_packing_plan_is_the_fitted_one(seed):
     assert sum(n for _, n in plan) <= 1.02 * sum(n for _, n in plain)
 
 
+def histograms():
+    """Dense and peaked piece lengths of up to 2048 tokens."""
+    def counted(x):
+        sizes, n = np.unique(np.clip(x.astype(int), 1, 2048), return_counts=True)
+        return dict(zip(sizes.tolist(), n.tolist()))
+
+    for seed in (0, 1):
+        yield f"dense{seed}", dict(enumerate(np.random.default_rng(seed).integers(1, 401, 2048).tolist(), 1)), 1.006
+    yield "short", counted(np.random.default_rng(3).lognormal(5.5, 1.0, 200_000)), 1.001
+    yield "middle", counted(np.random.default_rng(4).normal(700, 150, 100_000)), 0.98
+    yield "wide", counted(np.random.default_rng(5).integers(500, 1500, 100_000)), 1.001
+
+
+@pytest.mark.parametrize("name, count, share", list(histograms()))
+def test_packing_plan_against_best_fit(name, count, share):
+    plan = packing.plan(count, 2048)
+    used = Counter()
+    for pattern, n in plan:
+        assert n > 0 and sum(pattern) <= 2048
+        for size in pattern:
+            used[size] += n
+    assert used == count
+    sequences, plain = sum(n for _, n in plan), sum(n for _, n in packing.best_fit_runs(count, 2048))
+    assert sequences <= share * plain
+    bound = max(-(-sum(k * n for k, n in count.items()) // 2048), sum(n for k, n in count.items() if k > 1024))
+    assert sequences <= (1.009 if name.startswith("dense") else 1.016) * bound
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
