@@ -4,7 +4,9 @@ Rows with equal texts form one atomic group; groups are ordered by the digest
 of their text, and the order is cut into ``shards`` runs whose largest total
 size is the smallest possible.  The smallest feasible capacity is found by
 binary search with the greedy check "fill a shard until the next group does
-not fit".
+not fit".  Within that capacity the cuts are as even as the groups allow, and
+where one group alone sets it, the groups before and after it are partitioned
+again in the same way over the other shards.
 
 The search never needs all groups on the driver.  It works on *units*: digest
 prefixes with (total size, largest group, number of groups).  Treating units
@@ -71,6 +73,37 @@ class Units:
                 high = mid
         return low
 
+    def even(self, capacity: int, shards: int) -> list[int]:
+        """Positions where shards end, as even as unbreakable units allow: each
+        cut is the boundary nearest to an equal share of what is left, among
+        those that keep its shard within ``capacity`` and leave no more than
+        the other shards can hold."""
+        edges = np.concatenate([[0], self.ends])
+        earliest = [self.total]  # greedy from the right
+        for _ in range(shards - 1):
+            earliest.append(int(edges[np.searchsorted(edges, earliest[-1] - capacity, "left")]))
+        earliest.reverse()  # earliest[i]: least end of shard i
+        at, out = 0, []
+        for i in range(shards):
+            share = at + (self.total - at) / (shards - i)
+            near = int(np.searchsorted(edges, share, "left"))
+            if near and share - edges[near - 1] <= edges[min(near, len(edges) - 1)] - share:
+                near -= 1
+            last = int(edges[np.searchsorted(edges, at + capacity, "right") - 1])
+            at = min(max(int(edges[near]), earliest[i]), last)
+            out.append(at)
+        return out
+
+    def rest_share(self, shards: int) -> float:
+        """An equal share of what is left once every group above such a share
+        has a shard of its own (of a unit's groups, the largest is known)."""
+        rest, n = self.total, shards
+        for x in np.sort(self.largest)[::-1].tolist():
+            if n == 1 or x * n <= rest:
+                break
+            rest, n = rest - x, n - 1
+        return rest / n
+
     def open_units(self, low: int, high: int, shards: int) -> list[str]:
         """Prefixes of the many-group units in which an optimal cut can fall."""
         a = b = 0
@@ -104,8 +137,8 @@ def plan_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
         low, high = units.smallest(shards, True), units.smallest(shards, False)
         todo = [] if low == high else units.open_units(low, high, shards)
         if not todo:
-            ends = units.cuts(high, shards, False)
-            return high, [units.prefix[int(np.searchsorted(units.starts, e))] for e in ends[:-1]]
+            ends = [e for e in units.even(high, shards) if 0 < e < units.total]
+            return high, [units.prefix[int(np.searchsorted(units.starts, e))] for e in sorted(set(ends))]
         digits += 2
         by_length: dict[int, list[str]] = {}
         for p in todo:
@@ -117,6 +150,45 @@ def plan_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
             r.asDict() for r in _units(groups.filter(inside), digits).collect()]
 
 
+def balanced_cuts(groups: DataFrame, shards: int, found: tuple[int, list[str]] | None = None) -> tuple[int, list[str]]:
+    """Like ``plan_cuts``, but where a single group sets the capacity, that
+    group has a shard of its own and the partition goes on left and right of
+    it, so that the other shards share the rest evenly.  Each step settles one
+    shard; a step reads unit aggregates and one group only."""
+    capacity, cuts = found or plan_cuts(groups, shards)
+    if shards == 1 or not capacity:
+        return capacity, cuts
+    hot = groups.filter(F.col("gsize") == capacity).agg(F.min("gkey").alias("gkey")).first()["gkey"]
+    if hot is None:
+        return capacity, cuts
+    sides = (groups.filter(F.col("gkey") < hot), groups.filter(F.col("gkey") > hot))
+    units = [Units(r.asDict() for r in _units(side, FIRST_DIGITS).collect()) for side in sides]
+    if not units[0].total and not units[1].total:
+        return capacity, []
+    found_cuts: list[list[str]] = [[], []]
+    if not units[0].total or not units[1].total:
+        one = int(units[0].total == 0)
+        found_cuts[one] = balanced_cuts(sides[one], shards - 1)[1]
+    else:
+        # shares of the shards by what no partition can beat, then by the share left beside groups as hot;
+        # the best first, until no share can be better
+        least = sorted((max(units[0].smallest(k, True), units[1].smallest(shards - 1 - k, True)),
+                        max(units[0].rest_share(k), units[1].rest_share(shards - 1 - k)), k) for k in range(1, shards - 1))
+        plans, best = {}, None
+        for bound, _, k in least:
+            if best is not None and bound >= best[0]:
+                break
+            both = tuple(plans.get((i, n)) or plan_cuts(side, n) for i, (side, n) in enumerate(zip(sides, (k, shards - 1 - k))))
+            plans.update({(0, k): both[0], (1, shards - 1 - k): both[1]})
+            if best is None or max(both[0][0], both[1][0]) < best[0]:
+                best = max(both[0][0], both[1][0]), k, both
+        _, k, both = best
+        found_cuts = [balanced_cuts(side, n, plan)[1] for side, n, plan in zip(sides, (k, shards - 1 - k), both)]
+    before = [*found_cuts[0], hot] if units[0].total else []
+    after = [hot + "0", *found_cuts[1]] if units[1].total else []  # the first string after the group's digest
+    return capacity, before + after
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, gkey, shard, slot, capacity) for every row.
 
@@ -132,7 +204,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
         "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("gkey")), "sized")
     groups = stage(rows.groupBy("gkey").agg(F.sum("size").alias("gsize")), "groups")
-    capacity, cuts = plan_cuts(groups, shards)
+    capacity, cuts = balanced_cuts(groups, shards)
     shard = reduce(lambda s, c: s + (F.col("gkey") >= c).cast("int"), cuts, F.lit(0))
     placed = rows.select("*", shard.alias("shard"),
                          F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))

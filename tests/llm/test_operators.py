@@ -302,6 +302,52 @@ def test_sharding(docs, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def least_capacity(sizes, shards):
+    """The smallest possible largest run, by trying every sum of a run."""
+    def needs(capacity):
+        n, room = 1, capacity
+        for x in sizes:
+            if x > room:
+                n, room = n + 1, capacity
+            room -= x
+        return n
+
+    return min(c for c in {sum(sizes[i:j]) for i in range(len(sizes)) for j in range(i + 1, len(sizes) + 1)}
+               if c >= max(sizes) and needs(c) <= shards)
+
+
+@pytest.mark.parametrize("hot", [[], [400], [400, 150], [90, 90, 90]])
+def test_sharding_spreads_the_rest_of_hot_groups(spark, hot):
+    rnd = random.Random(len(hot))
+    texts = [f"hot text {i} " + "x" * 40 for i, n in enumerate(hot) for _ in range(n)]
+    texts += [f"text {i} " + "y" * rnd.randint(0, 80) for i in range(800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.shard_documents(docs, shards=16).collect()
+    assert len(got) == len(texts)
+    load, size = Counter(), Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+        size[r["gkey"]] += r["size"]
+    sizes = [size[k] for k in sorted(size)]
+    assert max(load.values()) == got[0]["capacity"] == least_capacity(sizes, 16)
+    order = [s for _, s in sorted({(r["gkey"], r["shard"]) for r in got})]
+    assert order == sorted(order) and set(order) == set(range(16))
+    # a shard without a hot group: near an equal share of all that is not hot
+    heavy = {k for k in size if size[k] > sum(sizes) / 16}
+    alone = {r["shard"] for r in got if r["gkey"] in heavy}
+    rest = [n for s, n in load.items() if s not in alone]
+    share = sum(rest) / len(rest)
+    assert max(rest) <= 1.35 * share and min(rest) >= 0.6 * share
+
+
+def test_sharding_of_few_groups(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2] * 3) for i in range(50)], "doc_id long, text string")
+    got = sharding.shard_documents(docs, shards=16).collect()
+    assert len({(r["gkey"], r["shard"]) for r in got}) == 2 and {r["shard"] for r in got} == {0, 1}
+    one = sharding.shard_documents(docs.filter("doc_id % 2 = 0"), shards=16).collect()
+    assert len(one) == 25 and {r["shard"] for r in one} == {0}
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
     path = tokenizer_path("word_bpe_49k.json")
