@@ -35,14 +35,16 @@ CLASSES = (
     ("b64ent", r"^(?=.*[0-9])(?=.*[A-Za-z]).+$",
      "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.8),
 )
+SAMPLES = "example|placeholder|changeme|xxxxxx|abcdefgh|01234567"  # samples and alphabets
 # no repeated groups here: each repetition would take a stack frame, and candidates have any length
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
     r"^[A-Za-z][A-Za-z_/=-]*[A-Za-z]$",  # plain words joined by separators
     r"^[0-9_/=+-]+$",  # numbers, dates, telephone numbers
-    r"(?i)example|placeholder|changeme|xxxxxx|abcdefgh|01234567",  # samples and alphabets
+    # a sample word clears its own segment; any other segment as long as a window is still judged
+    rf"(?i)^(?=.*(?:{SAMPLES}))(?!.*(?:^|/)(?![^/]*(?:{SAMPLES}))[^/]{{{WINDOW}}})",
     r"^(sha1|sha256|sha512|md5)[-=:_]",  # a digest that says so
-    r"^(?!.*//)(?!.*[a-z0-9_-]{13}/)/?[a-z0-9_-]+/[a-z0-9_-]+/[a-z0-9_/-]*$",  # a path of short names
+    r"^(?!.*//)(?!.*[a-z0-9_-]{13}/)(?!.*[a-z0-9]{13})/?[a-z0-9_-]+/[a-z0-9_-]+/[a-z0-9_/-]*$",  # a path of short names
 )
 KINDS = tuple(b[0] for b in BASE) + tuple(c[0] for c in CLASSES)
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,hit:string>>"

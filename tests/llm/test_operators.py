@@ -172,6 +172,20 @@ def test_secrets(spark):
     assert got[2]["clean"] == '[assign]"' and got[3]["clean"] == SECRETS[3]
 
 
+def test_secrets_allow_list_is_judged_by_segment(spark):
+    token, lower = "ghp_Zk39xQv7RmT2wLs8YcNd5HbJ4eUf", "q8z3kx71mvw0r5yt2bn9pdc6hj4lgs"
+    cases = [
+        (f"/example/{token}", True), (f"{token}/example/", True), (f"see /api/v2/{lower} there", True),
+        (f"https://a.com/services/t0/{lower}", True), (token, True), (f"/example/{token}/example", True),
+        (f"example-{token}", False),  # the sample word stands in the token's own segment
+        ("/example/some/short/names/0123456789ab", False), ("path/to/some/plain/file/name", False),
+        ("blog/2024/how-to-bake-bread-in-winter-7", False), ("EXAMPLE/of/SOMETHING/with9words", False),
+    ]
+    got = secrets.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    for r in got:
+        assert bool(r["extra"]) == cases[r["doc_id"]][1], cases[r["doc_id"]][0]
+
+
 def test_window_entropy(spark):
     s = "aaaaaaaaaaaaaaaaaaaabcdefghijklmnopqrst0123"
     best = max(-sum(c / 20 * math.log2(c / 20) for c in (w.count(x) for x in set(w))) for w in (s[i:i + 20] for i in range(len(s) - 19)))
