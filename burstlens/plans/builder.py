@@ -5,6 +5,8 @@
 * G2 ``build``: a ``BuilderSpec`` (relation, columns, aggregates, filters,
   group by, sort, limit) checked against the catalog and turned into
   ``select / filter / groupBy / agg / orderBy / limit``.
+* J3 ``join``: a ``JoinSpec`` (two relations, equality keys, a band or both,
+  inner, left, right or full form), checked the same way.
 * G3/G4: the canned example statements and accepted workspace statements,
   run with ``spark.sql`` over the relations passed as DataFrame arguments.
 * G5 ``register_views``: the relations as temp views for free ``spark.sql``.
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import joins as J
 from ..operators import summary as SM
 from ..sources import adapter, staging
 
@@ -159,6 +162,18 @@ class BuilderSpec:
     limit: int | None = None
 
 
+@dataclass(frozen=True)
+class JoinSpec:
+    left: str
+    right: str
+    columns: tuple[tuple[str, str, str], ...]
+    on: tuple[tuple[str, str], ...] = ()
+    band: J.Band | None = None
+    how: str = "inner"
+    left_filters: tuple[Filter, ...] = ()
+    right_filters: tuple[Filter, ...] = ()
+
+
 def _predicate(c: Column, f: Filter, typ: str) -> Column:
     op = f.operator
     if op == "IS NULL":
@@ -184,6 +199,51 @@ def _predicate(c: Column, f: Filter, typ: str) -> Column:
             "<": c < value, "<=": c <= value}[op]
 
 
+def _filtered(df: DataFrame, cols: dict[str, dict], filters: tuple[Filter, ...]) -> DataFrame:
+    for f in filters:
+        if f.column not in cols:
+            raise ValueError(f"unknown column {f.column!r} in filter")
+        m = cols[f.column]
+        if f.operator not in m["operators"]:
+            raise ValueError(f"operator {f.operator} not allowed on {m['type']} column {f.column!r}")
+        df = df.filter(_predicate(F.col(f"`{f.column}`"), f, m["type"]))
+    return df
+
+
+def join(rels: dict[str, DataFrame], spec: JoinSpec) -> DataFrame:
+    """Two relations joined on equality keys, a band or both (raises
+    ``ValueError`` on bad specs); the result is open to any DataFrame step."""
+    cat = catalog(rels)
+    sides = {}
+    for side, name, filters in (("left", spec.left, spec.left_filters), ("right", spec.right, spec.right_filters)):
+        if name not in cat:
+            raise ValueError(f"unknown relation {name!r}")
+        sides[side] = (cat[name]["columns"], _filtered(rels[name], cat[name]["columns"], filters))
+
+    def typed(side: str, col: str) -> str:
+        if side not in sides or col not in sides[side][0]:
+            raise ValueError(f"unknown column {col!r} of the {side} side in join")
+        return sides[side][0][col]["type"]
+
+    pairs = [*spec.on, *((spec.band.value, c) for c in ((spec.band.low, spec.band.high) if spec.band else ()))]
+    for a, b in pairs:
+        if typed("left", a) != typed("right", b):
+            raise ValueError(f"columns {a!r} and {b!r} are of different types")
+    if spec.band and typed("left", spec.band.value) not in ("number", "date", "timestamp"):
+        raise ValueError(f"no band on {typed('left', spec.band.value)} column {spec.band.value!r}")
+    if not spec.columns:
+        raise ValueError("a join names its columns as (side, column, alias)")
+    shown = []
+    for side, col, alias in spec.columns:
+        typed(side, col)
+        shown.append(F.col(f"`{side[0]}_{col}`").alias(alias))
+    used = {"left": {a for a, _ in pairs}, "right": {b for _, b in pairs}}
+    for side, col, _ in spec.columns:
+        used[side].add(col)
+    left, right = (sides[s][1].select(*(F.col(f"`{c}`") for c in sorted(used[s]))) for s in ("left", "right"))
+    return J.join(left, right, spec.on, spec.band, spec.how).select(*shown)
+
+
 def build(rels: dict[str, DataFrame], spec: BuilderSpec) -> DataFrame:
     """A validated spec -> DataFrame (raises ``ValueError`` on bad specs)."""
     cat = catalog(rels)
@@ -197,12 +257,7 @@ def build(rels: dict[str, DataFrame], spec: BuilderSpec) -> DataFrame:
             raise ValueError(f"unknown column {col!r} in {what}")
         return cols[col]
 
-    df = rels[spec.relation]
-    for f in spec.filters:
-        m = check(f.column, "filter")
-        if f.operator not in m["operators"]:
-            raise ValueError(f"operator {f.operator} not allowed on {m['type']} column {f.column!r}")
-        df = df.filter(_predicate(F.col(f"`{f.column}`"), f, m["type"]))
+    df = _filtered(rels[spec.relation], cols, spec.filters)
     selected = list(spec.columns) or list(meta["default_columns"])
     for c in selected:
         check(c, "select")

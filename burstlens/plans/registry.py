@@ -584,6 +584,37 @@ def q_builder(spark, d):
     return finish(B.build(B.relations(spark, d), BUILDER_SPEC))
 
 
+# Joins of the workspace: devices without activity, each side alone, events taken
+# while an earlier one of the camera awaited analysis, positions near a device.
+_WAIT = B.J.Band("utc_timestamp", "utc_timestamp", "ai_timestamp", step=60)
+JOINS = {
+    "join_left": B.JoinSpec("dim_devices", "daily_camera_summary", on=(("mac", "mac"),), how="left",
+                            columns=(("left", "mac", "mac"), ("right", "date", "date"), ("right", "total_rows", "total_rows"))),
+    "join_full": B.JoinSpec("dim_devices", "daily_camera_summary", on=(("mac", "mac"),), how="full",
+                            left_filters=(B.Filter("location_code", "IN", "R1, R2"),),
+                            columns=(("left", "mac", "device"), ("right", "mac", "active"), ("right", "date", "date"))),
+    "join_band": B.JoinSpec("events", "events", on=(("mac", "mac"),), band=_WAIT,
+                            columns=(("right", "camera_name", "camera_name"), ("right", "id", "waiting"), ("left", "id", "taken"))),
+    "join_band_left": B.JoinSpec("events", "dim_devices", band=B.J.Band("latitude", "latitude", "latitude", slack=0.15, step=0.1), how="left",
+                                 columns=(("left", "camera_name", "camera_name"), ("left", "id", "id"), ("right", "mac", "near"))),
+    "join_band_full": B.JoinSpec("events", "events", on=(("mac", "mac"),), band=_WAIT, how="full",
+                                 left_filters=(B.Filter("uploaded", "=", False),), right_filters=(B.Filter("sequence", "=", 1),),
+                                 columns=(("left", "camera_name", "failed_at"), ("left", "id", "failed"),
+                                          ("right", "camera_name", "waiting_at"), ("right", "id", "waiting"))),
+}
+JOIN_KEYS = {"join_left": ("mac",), "join_full": ("device", "active"), "join_band": ("camera_name",),
+             "join_band_left": ("camera_name", "near"), "join_band_full": ("failed_at", "waiting_at")}
+
+for _key in JOINS:
+    def _mkj(key=_key):
+        def run(spark, d):
+            rows, names = B.join(B.relations(spark, d), JOINS[key]), JOIN_KEYS[key]
+            counted = [c for c in rows.columns if c not in names]
+            return finish(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("joined"), *(F.count(c).alias(f"n_{c}") for c in counted)))
+        return run
+    QUERIES[_key] = _mkj()
+
+
 for _key in B.EXAMPLES:
     def _mke(key=_key):
         def run(spark, d):
