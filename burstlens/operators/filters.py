@@ -9,7 +9,7 @@ inside the same codegen stage.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +39,10 @@ class Filters:
         bounds = (self.min_lux, self.max_lux, self.min_temperature, self.max_temperature, self.min_heat_level, self.max_heat_level)
         return not self.q and all(x is None for x in bounds)
 
+    def narrows(self) -> bool:
+        """Whether any filter is set."""
+        return any(getattr(self, f.name) != f.default for f in fields(Filters))
+
     def predicate(self) -> Column:
         conds: list[Column] = []
         if self.camera_name:

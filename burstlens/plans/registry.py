@@ -305,6 +305,7 @@ def q_residual_matrix(spark, d):
 
 # ------------------------------------------------------ explorer / records
 from ..operators import explorer as X  # noqa: E402
+from ..operators import paging as PG  # noqa: E402
 from ..operators import summary as SM  # noqa: E402
 from ..operators.canonical import BASE_COLUMNS  # noqa: E402
 from ..operators.filters import SORT_KEYS, EventQuery, Filters  # noqa: E402
@@ -368,6 +369,17 @@ for _key in SORT_KEYS:
         QUERIES[f"events_page_{_key}_{_dir}"] = _mkp()
 
 
+# Deep pages by the index, every sort form; page 31 lies inside the smallest table.
+for _key in SORT_KEYS:
+    for _dir in ("asc", "desc"):
+        def _mkd(query=EventQuery(page=31, page_size=20, sort_by=_key, sort_dir=_dir)):
+            def run(spark, d):
+                return _records(PG.events_page_at(canon(spark, d), staging.pages_table(spark, d), staging.page_starts_table(spark, d),
+                                                  query, sizes(spark, d)))
+            return run
+        QUERIES[f"deep_page_{_key}_{_dir}"] = _mkd()
+
+
 @register("events_page_filtered")
 def q_events_page_filtered(spark, d):
     return _records(X.events_page(canon(spark, d), PAGE_FILTERED))

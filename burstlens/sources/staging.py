@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from ..functions import constants, normalize
 from ..operators import canonical as C
 from ..operators import gold as G
+from ..operators import paging as P
 from . import adapter, json_array
 
 _MEMO: dict[tuple, tuple[SparkSession, DataFrame]] = {}
@@ -101,7 +102,9 @@ def source_version(spark: SparkSession, path: str) -> str:
 def table_path(spark: SparkSession, sf_dir: str, kind: str = "canonical") -> str:
     this = sys.modules[__name__]  # the layout code is part of the key too
     mods = (adapter, this) if kind == "raw" else (constants, normalize, C, adapter, this)
-    if kind not in ("raw", "canonical"):
+    if kind.startswith("page"):
+        mods = (*mods, P)
+    elif kind not in ("raw", "canonical"):
         mods = (*mods, G, json_array)
     root = sf_dir.rstrip("/")
     key = hashlib.sha1(f"{root}|{source_version(spark, f'{root}/events.parquet')}|{_digest(*mods)}".encode()).hexdigest()[:16]
@@ -221,6 +224,23 @@ def cells_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Data
     return _staged(spark, table_path(spark, sf_dir, "cells"), write, refresh)
 
 
+def pages_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """The explorer's order-statistic index, one folder a range of a sort form."""
+    def write(path):
+        parts = max(len(P.FORMS), _parts(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
+        P.index(canonical_table(spark, sf_dir), parts).write.partitionBy("form", "part").parquet(path)
+
+    return _staged(spark, table_path(spark, sf_dir, "pages"), write, refresh)
+
+
+def page_starts_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """Counts and offsets of the index's ranges, one row a range."""
+    def write(path):
+        P.starts(pages_table(spark, sf_dir)).coalesce(1).write.parquet(path)
+
+    return _staged(spark, table_path(spark, sf_dir, "page_starts"), write, refresh)
+
+
 def export_folder(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
     """The raw rows as a delivery: a folder of JSON-array files."""
     def write(path):
@@ -239,6 +259,6 @@ def export_folder(spark: SparkSession, sf_dir: str, refresh: bool = False) -> st
 
 def stage_all(spark: SparkSession, sf_dir: str, refresh: bool = False) -> None:
     """Every staged table of ``sf_dir``, in order of derivation."""
-    for table in (canonical_table, states_table, groups_table, combos_table, cells_table):
+    for table in (canonical_table, states_table, groups_table, combos_table, cells_table, pages_table, page_starts_table):
         table(spark, sf_dir, refresh)
     export_folder(spark, sf_dir, refresh)
