@@ -306,6 +306,7 @@ def q_residual_matrix(spark, d):
 # ------------------------------------------------------ explorer / records
 from ..operators import explorer as X  # noqa: E402
 from ..operators import paging as PG  # noqa: E402
+from ..operators import search as TS  # noqa: E402
 from ..operators import summary as SM  # noqa: E402
 from ..operators.canonical import BASE_COLUMNS  # noqa: E402
 from ..operators.filters import SORT_KEYS, EventQuery, Filters  # noqa: E402
@@ -434,6 +435,27 @@ for _name, _flt in SLICES.items():
     QUERIES[f"filtered_{_name}"] = _mks()
 
 
+# F7 by posting lists: a phrase, wildcards kept, no usable gram, none that is known.
+SEARCHES = {"search_phrase": "near the WOLF", "search_wildcards": "the w_LF%en", "search_short": "pu", "search_none": "no such words"}
+
+
+def found(spark: SparkSession, d: str, q: str) -> DataFrame:
+    return TS.events(canon(spark, d), *staging.search_tables(spark, d), q)
+
+
+for _name, _q in SEARCHES.items():
+    def _mkt(q=_q):
+        def run(spark, d):
+            return finish(found(spark, d, q).select("id", "event_group", "camera_name"))
+        return run
+    QUERIES[_name] = _mkt()
+
+
+@register("search_composition")
+def q_search_composition(spark, d):
+    return finish(R.composition(found(spark, d, "the wolf").filter(COMBINED.predicate())))
+
+
 @register("filtered_kpis")
 def q_filtered_kpis(spark, d):
     return finish(R.kpis(C.kpi_groups(canon(spark, d, COMBINED))))

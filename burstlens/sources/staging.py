@@ -38,6 +38,7 @@ from ..functions import constants, normalize
 from ..operators import canonical as C
 from ..operators import gold as G
 from ..operators import paging as P
+from ..operators import search as S
 from . import adapter, json_array
 
 _MEMO: dict[tuple, tuple[SparkSession, DataFrame]] = {}
@@ -104,6 +105,8 @@ def table_path(spark: SparkSession, sf_dir: str, kind: str = "canonical") -> str
     mods = (adapter, this) if kind == "raw" else (constants, normalize, C, adapter, this)
     if kind.startswith("page"):
         mods = (*mods, P)
+    elif kind.startswith("search"):
+        mods = (*mods, P, S)
     elif kind not in ("raw", "canonical"):
         mods = (*mods, G, json_array)
     root = sf_dir.rstrip("/")
@@ -241,6 +244,22 @@ def page_starts_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -
     return _staged(spark, table_path(spark, sf_dir, "page_starts"), write, refresh)
 
 
+def search_tables(spark: SparkSession, sf_dir: str, refresh: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The text index: texts, posting lists, their lengths, places."""
+    def staged(kind, write):
+        return _staged(spark, table_path(spark, sf_dir, f"search_{kind}"), write, refresh)
+
+    canon, parts = canonical_table(spark, sf_dir), _parts(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    texts = staged("texts", lambda path: S.texts(canon, parts).write.parquet(path))
+    lists = staged("postings", lambda path: S.postings(texts).repartitionByRange(parts, "bucket", "gram", "text_no")
+                   .sortWithinPartitions("bucket", "gram", "text_no").write.partitionBy("bucket").parquet(path))
+    lengths = staged("counts", lambda path: S.counts(lists).repartitionByRange(parts, "bucket", "gram")
+                     .sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path))
+    where = staged("places", lambda path: S.places(canon, texts).repartitionByRange(parts, "part", "text_no", "event_date", "id")
+                   .sortWithinPartitions("part", "text_no").write.partitionBy("part").parquet(path))
+    return texts, lists, lengths, where
+
+
 def export_folder(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
     """The raw rows as a delivery: a folder of JSON-array files."""
     def write(path):
@@ -259,6 +278,6 @@ def export_folder(spark: SparkSession, sf_dir: str, refresh: bool = False) -> st
 
 def stage_all(spark: SparkSession, sf_dir: str, refresh: bool = False) -> None:
     """Every staged table of ``sf_dir``, in order of derivation."""
-    for table in (canonical_table, states_table, groups_table, combos_table, cells_table, pages_table, page_starts_table):
+    for table in (canonical_table, states_table, groups_table, combos_table, cells_table, pages_table, page_starts_table, search_tables):
         table(spark, sf_dir, refresh)
     export_folder(spark, sf_dir, refresh)
