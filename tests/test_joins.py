@@ -79,6 +79,41 @@ def test_times_and_slack_equal_the_loop(spark, kind, unit):
     assert run(spark, left, right, kind, "full", True, J.Band("v", "v", "high", slack=2, step=5 if kind != "date" else 1)) == want
 
 
+@pytest.mark.parametrize("how", J.HOW)
+@pytest.mark.parametrize("keys", [True, False])
+def test_counts_equal_the_counted_rows(spark, how, keys):
+    from pyspark.sql import functions as F
+    rnd = random.Random(11)
+    odd = [float("nan"), float("inf"), float("-inf"), -0.0, 0.0, 1e300, -3.5, None]
+    value = lambda: rnd.choice(odd) if rnd.random() < 0.2 else round(rnd.uniform(-60, 60), 1)
+    word = lambda: rnd.choice(["a", "a", "b", None])
+    left = [(word(), value(), word(), rnd.choice([1, None])) for _ in range(150)]
+    right = []
+    for _ in range(60):
+        lo = value()
+        right.append((word(), lo, None if lo is None or rnd.random() < 0.1 else lo + rnd.choice([0.0, 0.3, 5.0, 37.0, -1.0, 1e9]), word(), rnd.choice([1, None])))
+    left, right = left + left[:9], right + right[:9]
+    a = spark.createDataFrame(left, "k string, v double, g string, tag int")
+    b = spark.createDataFrame(right, "k string, v double, high double, g string, tag int")
+    on = (("k", "k"),) if keys else ()
+    for step, by in ((0.5, ("l_g", "r_g")), (7, ("r_g",) if keys else ("l_g",))):
+        band = J.Band("v", "v", "high", slack=0.2, step=step)
+        want = J.join(a, b, on, band, how).groupBy(*by).agg(F.count(F.lit(1)).alias("joined"), F.count("l_tag").alias("l_tag"), F.count("r_tag").alias("r_tag"))
+        got = J.counts(a, b, on, band, how, by, ("l_tag", "r_tag"))
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_counts_shuffle_no_pairs(spark):
+    """2000 values in 2000 intervals: four million pairs, counted without one."""
+    from pyspark.sql import functions as F
+    a = spark.range(2000).select((F.col("id") / 2000).alias("v"))
+    b = spark.range(2000).select((-F.col("id") / 2000).alias("v"), (1 + F.col("id") / 2000).alias("high"))
+    got = J.counts(a, b, (), J.Band("v", "v", "high", step=0.01))
+    text = got._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    assert "_v" not in "".join(x for x in text.splitlines() if "Join" in x)  # values meet intervals in no join
+    assert [tuple(r) for r in got.collect()] == [(4_000_000,)]
+
+
 @pytest.mark.parametrize("how", J.HOW)
 def test_empty_sides(spark, how):
     some, span = [("a", 1.0, 1)], [("a", 0.0, 2.0, 1)]
