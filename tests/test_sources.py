@@ -7,10 +7,12 @@ import gzip
 import json
 import os
 
+import pytest
+
 from conftest import SMALL, raw_frame
 
 from burstlens.operators import summary as SM
-from burstlens.sources import ingest, sinks, staging
+from burstlens.sources import adapter, ingest, sinks, staging
 
 
 def test_raw_export_array_with_mixed_timestamps(spark, scratch):
@@ -179,3 +181,63 @@ def test_ranges_alone_find_records():
             depth += int(J.depths(data, marks, bool(inside))[1].sum())
             inside = (inside + len(marks)) % 2
         assert got == recs
+
+
+def test_bronze_sorts_source_rows_and_makes_raw_ones_once(spark, scratch):
+    """Shuffle and sort see the source's columns, not the 43 of a raw row."""
+    from pyspark.sql import functions as F
+
+    source = adapter.read_table(spark, SMALL, "events")
+    widths = []
+
+    def made(rows):
+        widths.append(len(rows.columns))
+        return adapter.camera_events_from(spark, rows)
+
+    staging.write_raw(source, f"{scratch}/raw", 3, (F.col("ts"), F.col("event_id").cast("string")), made)
+    assert widths == [6]
+    got, want = spark.read.parquet(f"{scratch}/raw"), adapter.camera_events(spark, SMALL)
+    assert got.dtypes == want.dtypes and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_staging_writes_split_long_methods_and_scans(spark, scratch):
+    """Staging writes run under their own settings; the session's come back, also after a failure."""
+    before = {k: spark.conf.get(k, None) for k in staging.WRITING}
+    seen = []
+
+    def write(path):
+        seen.append({k: spark.conf.get(k) for k in staging.WRITING})
+        spark.range(3).write.parquet(path)
+
+    staging._staged(spark, f"{scratch}/t", write, False)
+    assert seen == [staging.WRITING] and int(seen[0]["spark.sql.codegen.hugeMethodLimit"]) == 8000
+    with pytest.raises(ZeroDivisionError):
+        staging._staged(spark, f"{scratch}/u", lambda path: 1 / 0, False)
+    assert {k: spark.conf.get(k, None) for k in staging.WRITING} == before
+    assert staging.TASK_BYTES <= 8 << 20
+
+
+def test_brackets_and_quotes_equal_a_loop():
+    import random
+
+    import numpy as np
+
+    from burstlens.sources import json_array
+
+    rnd = random.Random(5)
+    for _ in range(600):
+        raw = bytes(rnd.choice(b'"\\\\{}[]a') for _ in range(rnd.randrange(14)))
+        for escaped in (False, True):
+            marks, run = [], int(escaped)
+            for i, c in enumerate(raw):
+                if c == 34 and run % 2 == 0:
+                    marks.append(i)
+                run = run + 1 if c == 92 else 0
+            data = np.frombuffer(raw, np.uint8)
+            found = json_array.quotes(data, escaped)
+            assert found.tolist() == marks, (raw, escaped)
+            for inside in (False, True):
+                want = [(i, 1 if c in json_array.OPEN else -1) for i, c in enumerate(raw)
+                        if c in b"{}[]" and (sum(m <= i for m in marks) + inside) % 2 == 0]
+                at, steps = json_array.depths(data, found, inside)
+                assert [*zip(at.tolist(), steps.tolist())] == want
