@@ -241,3 +241,8 @@ def test_brackets_and_quotes_equal_a_loop():
                         if c in b"{}[]" and (sum(m <= i for m in marks) + inside) % 2 == 0]
                 at, steps = json_array.depths(data, found, inside)
                 assert [*zip(at.tolist(), steps.tolist())] == want
+
+
+def test_page_index_is_cut_finer_than_the_bronze_table(spark, monkeypatch):
+    monkeypatch.setattr(staging, "TASK_BYTES", 1 << 10)
+    assert staging._parts(spark, f"{SMALL}/events.parquet", 4) > 3 * staging._parts(spark, f"{SMALL}/events.parquet")
