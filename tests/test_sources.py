@@ -246,3 +246,25 @@ def test_brackets_and_quotes_equal_a_loop():
 def test_page_index_is_cut_finer_than_the_bronze_table(spark, monkeypatch):
     monkeypatch.setattr(staging, "TASK_BYTES", 1 << 10)
     assert staging._parts(spark, f"{SMALL}/events.parquet", 4) > 3 * staging._parts(spark, f"{SMALL}/events.parquet")
+
+
+def test_field_map_flattens_the_nested_documents(spark, scratch, monkeypatch):
+    """Title and summary come from ``analysis``, nested or as text, not from the flat keys beside it."""
+    from burstlens.plans.registry import QUERIES
+
+    docs = {"nested": {"title": "T", "summary": "a, \"wolf\"", "details": {"title": "inner"}}, "text": '{"title":"T","summary":"s"}',
+            "part": {"title": "T"}, "blank": {"title": " ", "summary": ""}, "number": {"title": 5, "summary": None},
+            "none": None, "junk": "not json", "cut": '{"title":"T","summary":', "list": [{"title": "T"}], "empty": {}}
+    want = {"nested": ("T", 'a, "wolf"'), "text": ("T", "s"), "part": ("T", None), "blank": (" ", ""), "number": ("5", None)}
+    recs = [{"id": k, "analysis": v, "analysis_title": "stored", "analysis_summary": "stored", "batteryPercentage": 50.5,
+             "heatLevel": 7, "fileType": "camera"} for k, v in docs.items()]
+    del recs[0]["analysis_title"], recs[0]["analysis_summary"]  # a document of the store has no flat keys
+    recs += recs[:2]
+    with open(os.path.join(scratch, "a.json"), "w") as out:
+        json.dump(recs, out)
+    monkeypatch.setattr(staging, "export_folder", lambda spark, d: scratch)
+    mapped = QUERIES["ingest_field_map"](spark, SMALL)
+    assert mapped.columns == [dst for dst, _ in ingest.LOADER_FIELDS]
+    got = sorted((r["id"], r["analysis_title"], r["analysis_summary"]) for r in mapped.collect())
+    assert got == sorted((r["id"], *want.get(r["id"], (None, None))) for r in recs)
+    assert {(r["battery_percentage"], r["heat_level"], r["file_type"]) for r in mapped.collect()} == {(50.5, 7.0, "camera")}
